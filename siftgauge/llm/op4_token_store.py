@@ -71,8 +71,8 @@ class WordEncoder:
         self.first, self.count = np.insert(self.first, at, self.used + np.cumsum(count) - count), np.insert(self.count, at, count)
         self.hash, self.used = np.insert(self.hash, at, hashes), self.used + len(new)
 
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids, offsets of the texts in them)."""
+    def _rows(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(row of every word in the table, offsets of the texts in the words)."""
         data, offsets = tx.joined(texts)
         starts, ends = tx.word_spans(data, tx.NON_SPACE)
         hashes, at, kind = np.unique(tx.word_hashes(data, starts, ends), return_index=True, return_inverse=True)
@@ -82,11 +82,19 @@ class WordEncoder:
         if len(new):
             raw = data.tobytes()
             self._learn(hashes[new], [raw[a:b].decode() for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)])
-        row = np.searchsorted(self.hash, hashes)[kind]
+        return np.searchsorted(self.hash, hashes)[kind], np.searchsorted(starts, offsets)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, offsets of the texts in them)."""
+        row, words = self._rows(texts)
         count = self.count[row]
         which, k = tx.expand(count)
-        before = np.r_[0, np.cumsum(count)]
-        return self.ids[self.first[row][which] + k].astype(np.uint32), before[np.searchsorted(starts, offsets)]
+        return self.ids[self.first[row][which] + k].astype(np.uint32), np.r_[0, np.cumsum(count)][words]
+
+    def lengths(self, texts: pa.Array) -> np.ndarray:
+        """Number of ids of every text."""
+        row, words = self._rows(texts)
+        return np.diff(np.r_[0, np.cumsum(self.count[row])][words])
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
