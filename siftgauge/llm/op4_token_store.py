@@ -32,9 +32,9 @@ from .mph import PerfectHash, fingerprints
 from .store import new_folder
 
 #: Words whose ids a worker keeps; beyond it starts anew.
-CACHE_WORDS = 3_000_000
+CACHE_WORDS = 1_500_000
 #: Bytes of text for one shard.
-SHARD_BYTES = 32 << 20
+SHARD_BYTES = 16 << 20
 _HEAD = "<4sHHQQ"
 _HEAD_BYTES = struct.calcsize(_HEAD)
 MANIFEST = "shard int, path string, dtype string, first_key long, last_key long, n_docs long, n_ids long"
@@ -152,7 +152,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int |
         dtype = np.dtype("<u4" if encoder.wide else "<u2")
         payload, keys, nulls, counts = [], [], [], []
         for whole in batches:
-            for batch in tx.row_chunks(whole, "t", 8 << 20):
+            for batch in tx.row_chunks(whole, "t", 4 << 20):
                 ids, offsets = encoder.encode(batch.column("t"))
                 if end_id is not None:
                     ids = np.insert(ids, offsets[1:], end_id)
