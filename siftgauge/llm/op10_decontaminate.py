@@ -120,39 +120,62 @@ def _blocks(benchmark: DataFrame, block_words: int, id_col: str, text_col: str)
         yield rows
 
 
+def _lookup(docs: DataFrame, benchmark: DataFrame, width: int, slop: int, block_words: int, item_col: str, item_text_col: str):
+    """A function from a batch with texts `t` to its (n_words, n_hit, items)."""
+    context = docs.sparkSession.sparkContext
+    blocks = [context.broadcast(phrases_of(rows, width)) for rows in _blocks(benchmark, block_words, item_col, item_text_col)]
+
+    def look(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, list]:
+        words, offsets = tx.words_of(batch.column("t"), tx.ALNUM, True)
+        doc_of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
+        edges, found = np.zeros(len(words) + 1, np.int32), {}
+        for block in blocks:
+            phrases = block.value
+            shard = Shard(words, doc_of, phrases.vocab)
+            for length, (windows, item_of) in phrases.groups.items():
+                for row, start in shard.matches(windows, slop):
+                    np.add.at(edges, start, 1)
+                    np.add.at(edges, start + length, -1)
+                    pairs = np.unique(doc_of[start] * np.int64(len(phrases.items)) + item_of[row])
+                    for d, k in zip(*np.divmod(pairs, len(phrases.items)), strict=True):
+                        found.setdefault(int(d), set()).add(str(phrases.items[k]))
+        hits = np.r_[0, np.cumsum(np.cumsum(edges[:-1]) > 0)]
+        return np.diff(offsets), hits[offsets[1:]] - hits[offsets[:-1]], [found.get(i, ()) for i in range(batch.num_rows)]
+
+    return look
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, slop: int = 0, block_words: int = 1 << 20,
                   id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """RESULT for each document: words, words inside matches, matching items, and whether there are any."""
-    context = docs.sparkSession.sparkContext
-    blocks = [context.broadcast(phrases_of(rows, width)) for rows in _blocks(benchmark, block_words, item_col, item_text_col)]
+    look = _lookup(docs, benchmark, width, slop, block_words, item_col, item_text_col)
 
-    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = hashlib.sha256(b"").hexdigest()
+    def report(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.row_chunks(whole, "t"):
-                words, offsets = tx.words_of(batch.column("t"), tx.ALNUM, True)
-                doc_of = np.repeat(np.arange(batch.num_rows), np.diff(offsets))
-                edges, found = np.zeros(len(words) + 1, np.int32), {}
-                for block in blocks:
-                    phrases = block.value
-                    shard = Shard(words, doc_of, phrases.vocab)
-                    for length, (windows, item_of) in phrases.groups.items():
-                        for row, start in shard.matches(windows, slop):
-                            np.add.at(edges, start, 1)
-                            np.add.at(edges, start + length, -1)
-                            pairs = np.unique(doc_of[start] * np.int64(len(phrases.items)) + item_of[row])
-                            for d, k in zip(*np.divmod(pairs, len(phrases.items)), strict=True):
-                                found.setdefault(int(d), set()).add(str(phrases.items[k]))
-                hits = np.r_[0, np.cumsum(np.cumsum(edges[:-1]) > 0)]
-                n_hit = hits[offsets[1:]] - hits[offsets[:-1]]
-                items = [found.get(i, ()) for i in range(batch.num_rows)]
-                digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() if x else nothing for x in items]
+                n_words, n_hit, items = look(batch)
+                digests = [hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in items]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("i"), pa.array(np.diff(offsets), pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0)],
+                    [batch.column("i"), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(digests, pa.string()), pa.array(n_hit > 0)],
                     ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
                 )
 
-    return docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).mapInArrow(look, RESULT)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(report, RESULT)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, *, width: int = 10, slop: int = 0, block_words: int = 1 << 20,
+          text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of `docs` without matches, with their own columns."""
+    look = _lookup(docs, benchmark, width, slop, block_words, item_col, item_text_col)
+    names = docs.columns
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in tx.row_chunks(whole, "t"):
+                yield batch.select(range(len(names))).filter(pa.array(look(batch)[1] == 0)).rename_columns(names)
+
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.col(f"`{text_col}`").cast("string").alias("t"))
+    return rows.mapInArrow(keep, docs.schema)
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
