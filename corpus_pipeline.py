@@ -1,8 +1,61 @@
-"""Corpus pipeline (stages follow)."""
+"""Corpus pipeline: each stage takes (spark, docs, sf_dir), and all but the last return the columns of documents."""
 
-STAGES = []
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftgauge.llm import op1_suffix_dedup, op2_quality, op6_jaccard_join, op9_packing, op10_decontaminate
+from siftgauge.llm.store import new_folder
+
+#: Near-duplicate stages take five words and a similarity of 0.8.
+NEAR_WIDTH, NEAR_PERCENT = 5, 80
+#: The stages cannot be expressed in SQL; tests hold them against brute-force versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the weakly supervised rules keep."""
+    return op2_quality.keep_good(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component, that with the smallest id (of repeated ids one row), and all without words."""
+    linked = op6_jaccard_join.linked(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
+    kept = linked.where((F.col("n_shingles") == 0) | F.col("component_id").isNull() | (F.col("doc_id") == F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
+    first = docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"])).drop("_id")
+    return first.dropDuplicates(["doc_id", "text"])
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document without the passages that also stand elsewhere; n_chars follows the text."""
+    rows = docs.select(*docs.columns, F.col("text").alias("t"), F.xxhash64("doc_id", "text").alias("r"))
+    runs = op1_suffix_dedup.repeated_runs(rows.select("r", "t"))
+    cut_out = op1_suffix_dedup.removed(rows, runs, op1_suffix_dedup.WIDTH, docs.columns, True)
+    changed = {"text": F.when(F.col("text").isNotNull(), F.col("kept")), "n_chars": F.length("kept").cast("long")}
+    return cut_out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that have no passage of the benchmark."""
+    return op10_decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bucket, batch and place of each document."""
+    return op9_packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality rules", quality), ("near duplicates", near_duplicates), ("repeated passages", repeated_passages), ("benchmark decontamination", decontaminated), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in order, each one's rows written as Parquet and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    folder = new_folder(spark, "pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{folder}/{k}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
