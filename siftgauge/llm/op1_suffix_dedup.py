@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 
 from . import suffixes
 from . import text as tx
-from .store import cut
+from .store import cut, settle
 
 WIDTH, GRAM = 200, 32
 #: Bytes of contexts in one suffix array, and of one anchor in one shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 1 << 20
 _RUN = np.dtype([("a", "<i4"), ("b", "<i4")])
 
 
@@ -94,8 +94,8 @@ def _contexts(rows: DataFrame, width: int, gram: int) -> DataFrame:
 def repeated_runs(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(r, runs): for rows (r, t) the runs of bytes to remove, as pairs of 32-bit integers; a row may have several."""
     every = _contexts(rows, width, gram)
-    twice = every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h")
-    found = cut(every.join(twice, "h"))
+    twice = settle(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"))
+    found = settle(every.join(twice, "h"))
     kinds = cut(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("r", "at")).alias("x")).select("h", "c", "k", F.col("x.r").alias("r"), F.col("x.at").alias("at")))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

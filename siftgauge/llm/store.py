@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -32,6 +33,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """`cut`, after which Spark drops the shuffle files that only the lineage before it needed.
+
+    Its cleaner removes them when the driver's JVM has collected what referred to them, as it does by itself only
+    every half hour.
+    """
+    out = cut(df)
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
+
+
 def new_folder(spark: SparkSession, kind: str) -> str:
     """A fresh folder name under the shared folder."""
     return f"{shared_dir(spark)}/siftgauge/{kind}-{uuid.uuid4().hex}"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Bytes are symbols 1 to 256; 0 ends each string and differs from every byte.
+#: Bytes are symbols 1 to 256; 0 ends each string and differs from every byte.  So many symbols fit into a word.
 _PACKED = 7
 
 
@@ -19,31 +19,38 @@ def symbols(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
+def _sorted_places(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order, sorted keys); keys that leave `bits` bits free carry their place, which sorts without indirection."""
+    if len(keys) and int(keys.max()) >> (64 - bits):
+        order = np.argsort(keys)
+        return order, keys[order]
+    both = np.sort((keys << np.uint64(bits)) | np.arange(len(keys), dtype=np.uint64))
+    return (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+
+
 def suffix_array(sym: np.ndarray) -> np.ndarray:
     """All suffixes in order.
 
-    The first sort takes 7 symbols packed into a word.  Then groups that are still equal are sorted by the rank of the
-    suffix h symbols on, h doubling each time; sorted suffixes are not touched again.
+    The first sort takes a few symbols packed into a word.  Then groups that are still equal are sorted by the rank of
+    the suffix h symbols on, h doubling each time; sorted suffixes are not touched again.
     """
     n = len(sym)
+    bits = max(1, n.bit_length())
     padded = np.zeros(n + _PACKED, np.uint64)
     padded[:n] = sym
     key = np.zeros(n, np.uint64)
-    for k in range(_PACKED):
+    h = min(_PACKED, max(1, (64 - bits) // 9))
+    for k in range(h):
         key = (key << np.uint64(9)) | padded[k : k + n]
-    sa = np.argsort(key)
-    ordered = key[sa]
+    sa, ordered = _sorted_places(key, bits)
     first = np.r_[True, ordered[1:] != ordered[:-1]]
     rank = np.zeros(2 * n + 1, np.int64)
-    group = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    rank[sa] = group + 1
+    rank[sa] = np.maximum.accumulate(np.where(first, np.arange(n), 0)) + 1
     live = np.flatnonzero(~first | ~np.r_[first[1:], True])
-    h = _PACKED
     while len(live):
         at = sa[live]
-        key = (rank[at].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(at + h, 2 * n)].astype(np.uint64)
-        order = np.argsort(key)
-        at, key = at[order], key[order]
+        order, key = _sorted_places((rank[at].astype(np.uint64) << np.uint64(bits)) | rank[np.minimum(at + h, 2 * n)].astype(np.uint64), len(live).bit_length() if 3 * bits <= 64 else bits)
+        at = at[order]
         sa[live] = at
         new = np.r_[True, key[1:] != key[:-1]]
         rank[at] = live[np.maximum.accumulate(np.where(new, np.arange(len(live)), 0))] + 1
