@@ -41,13 +41,13 @@ query("p09_pixel_sigmas", "SELECT gid, cam, round(least(128e0, greatest(0.5e0, s
 stage("conic", """SELECT gid, cam, batch, cz, alpha, c0, c1, c2, u, v, syy / det AS ia, -sxy / det AS ib, sxx / det AS ic, sxx, syy, ceil(3 * sqrt(greatest((sxx + syy) / 2 + sqrt(greatest((sxx + syy) * (sxx + syy) / 4 - det, 0e0)), 0e0)) + 1) AS radius FROM
   (SELECT s.*, greatest(sxx * syy - sxy * sxy, 1e-12) AS det FROM {s2} s) d""", cut=True)
 query("p10_splat_radius", "SELECT gid, cam, CAST(radius AS BIGINT) AS radius FROM {conic}")
-stage("rect", f"""SELECT * FROM (SELECT c.*, CAST(greatest(0e0, least(4e0, floor((u - radius) / {TILE}))) AS INT) AS x0, CAST(greatest(0e0, least(4e0, floor((u + radius + {TILE - 1}) / {TILE}))) AS INT) AS x1,
-  CAST(greatest(0e0, least(4e0, floor((v - radius) / {TILE}))) AS INT) AS y0, CAST(greatest(0e0, least(4e0, floor((v + radius + {TILE - 1}) / {TILE}))) AS INT) AS y1 FROM {{conic}} c) r WHERE x1 > x0 AND y1 > y0""", cut=True)
+stage("rect", f"""SELECT * FROM (SELECT c.*, CAST(greatest(0e0, least(4e0, floor((u - radius) / {TILE}))) AS INT) AS x0, CAST(greatest(0e0, least(4e0, floor((u + radius) / {TILE}) + 1)) AS INT) AS x1,
+  CAST(greatest(0e0, least(4e0, floor((v - radius) / {TILE}))) AS INT) AS y0, CAST(greatest(0e0, least(4e0, floor((v + radius) / {TILE}) + 1)) AS INT) AS y1 FROM {{conic}} c) r WHERE x1 > x0 AND y1 > y0""", cut=True)
 query("f01_frustum", "SELECT cam, count(*) AS visible FROM {rect} GROUP BY cam")
 query("j02_tile_pairs", "SELECT cam, tx, ty, count(*) AS n FROM {rect} r, SERIES<x0;x1 - 1> AS a(tx), SERIES<y0;y1 - 1> AS b(ty) GROUP BY cam, tx, ty")
 query("a12_tile_histogram", "SELECT n, count(*) AS tiles FROM {j02_tile_pairs} GROUP BY n")
 # Pixels of a splat's tiles inside the box that holds its 3-sigma ellipse, which no supported pixel is outside of.
-stage("pix", f"""SELECT gid, cam, batch, cz, c0, c1, c2, px, py, least(0.99e0, alpha * exp(-conic / 2)) AS a FROM (SELECT r.*, px, py, ia * (px + 0.5e0 - u) * (px + 0.5e0 - u) + 2 * ib * (px + 0.5e0 - u) * (py + 0.5e0 - v) + ic * (py + 0.5e0 - v) * (py + 0.5e0 - v) AS conic FROM
+stage("pix", f"""SELECT gid, cam, batch, cz, c0, c1, c2, px, py, least(0.99e0, alpha * exp(-conic / 2)) AS a FROM (SELECT r.*, px, py, ia * (px - u) * (px - u) + 2 * ib * (px - u) * (py - v) + ic * (py - v) * (py - v) AS conic FROM
   (SELECT * FROM (SELECT q.*, CAST(greatest(x0 * {TILE}, floor(u - 3 * sqrt(sxx)) - 1) AS INT) AS l, CAST(least(x1 * {TILE} - 1, ceil(u + 3 * sqrt(sxx))) AS INT) AS r, CAST(greatest(y0 * {TILE}, floor(v - 3 * sqrt(syy)) - 1) AS INT) AS t, CAST(least(y1 * {TILE} - 1, ceil(v + 3 * sqrt(syy))) AS INT) AS b FROM {{rect}} q) w WHERE l <= r AND t <= b) r,
   SERIES<l;r> AS sx(px), SERIES<t;b> AS sy(py)) z WHERE conic <= 9 AND -conic / 2 >= ln(1e0 / 255) - ln(greatest(alpha, 1e-8))""", cut=True)
 query("j03_pixel_grid", "SELECT cam, count(*) AS rows_, count(DISTINCT py * 64 + px) AS pixels FROM {pix} GROUP BY cam")
