@@ -232,7 +232,7 @@ def read_store(manifest: DataFrame) -> DataFrame:
                 known, found = shard.find(keys)
                 if not known[~null].all():
                     raise ValueError(f"{path}: a key is not in the index")
-                new = np.r_[True, keys[1:] != keys[:-1]] | null
+                new = np.r_[True, (keys[1:] != keys[:-1]) | null[:-1]] | null
                 lead = np.maximum.accumulate(np.where(new, np.arange(len(keys)), 0))
                 start = np.where(null, firsts, found["first"].astype(np.int64) + firsts - firsts[lead])
                 crcs = np.fromiter((zlib.crc32(shard.ids(int(a), int(n)).tobytes()) for a, n in zip(start, counts, strict=True)), np.int64, len(keys))
