@@ -4,9 +4,9 @@
 2. Of a set of size n only the n - ceil(t n) + 1 first shingles in one global order go to tiles (a tile is a shingle):
    two sets that link share one of these.  The order puts shingles that are frequent in a bounded sample last; this
    steers the cost only, since any common order is exact.
-3. Inside a tile every set is paired with the smallest id of its own size band and of the band below; when links found so
-   far do not yet join all of a tile, the pairs across its parts follow.  So a group of copies of size s costs about s
-   pairs, not s^2, and no link between parts is lost.
+3. Inside a tile every set is paired with the smallest id of its own size band and of the band below; where the links
+   found so far do not yet join all of a tile, the pairs across its parts follow.  So a group of copies gives pairs with
+   its centres, not of all its members, and no link between parts is lost.
 4. A pair is dropped by its sizes, then by bit counts: the bits in which two bitmaps of a size band differ are no more
    than the elements in which the sets differ, which bounds the overlap from above.  What is left is decided by the
    exact intersection of the sorted shingle arrays.
@@ -28,13 +28,15 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .store import cut
+from .store import cut, settle
 
 WIDTH, PERCENT = 4, 85
 #: Labelled bounds of the sample that finds frequent shingles, and of what is kept of them.
 SAMPLE_DOCS, FREQUENT_FROM, MOST_FREQUENT = 4000, 4, 1 << 16
 #: Members of one star that one task compares with its centre.
 STAR_MEMBERS = 20_000
+#: Sets to compare up to which their ids (16 bytes each) are broadcast; beyond it texts meet them by a shuffle join.
+MOST_BROADCAST = 500_000
 _HOT = np.uint64(1 << 63)
 
 
@@ -163,6 +165,59 @@ def _by_bits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(test, "a long, b long")
 
 
+def _bit_rows(maps: list, bits: int) -> np.ndarray:
+    """Bitmaps as rows of one size, larger ones folded."""
+    out = np.zeros((len(maps), bits // 64), np.uint64)
+    for k, m in enumerate(maps):
+        x = np.frombuffer(m, np.uint64)
+        while len(x) > out.shape[1]:
+            x = x[: len(x) // 2] | x[len(x) // 2 :]
+        out[k] = x
+    return out
+
+
+def _across(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different parts (`root`) of a tile that sizes and bit counts allow.
+
+    A tile is ordered by size and compared in blocks; rows outside its largest part meet all rows in their band.
+    """
+
+    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+        rows.sort(key=lambda r: (r[2], r[0]))
+        node, root, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        kinds, which = np.unique(root, return_inverse=True)
+        rest = np.flatnonzero(which != np.bincount(which).argmax())
+        for i in rest.tolist():
+            # Partners in the band; of two rows outside the largest part the later one looks.
+            lo, hi = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, n[i] * 100 // percent, "right")
+            for at in range(lo, hi, 4096):
+                j = np.arange(at, min(hi, at + 4096))
+                j = j[(root[j] != root[i]) & ((j < i) | ~np.isin(j, rest, assume_unique=True))]
+                if not len(j):
+                    continue
+                own = np.frombuffer(rows[i][3], np.uint64)
+                bits = min(len(own) * 64, min(len(rows[k][3]) * 8 for k in (j[0], j[-1])))
+                differ = np.bitwise_count(_bit_rows([rows[k][3] for k in j.tolist()], bits) ^ _bit_rows([rows[i][3]], bits)).sum(axis=1)
+                ok = j[differ <= n[i] + n[j] - 2 * (-(-percent * (n[i] + n[j]) // (100 + percent)))]
+                if len(ok):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[ok], node[i])), pa.array(np.minimum(node[ok], node[i]))], ["a", "b"])
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        token = None
+        for batch in batches:
+            for t, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "root", "n", "bits")), strict=True):
+                if t != token:
+                    if len(held) > 1:
+                        yield from pairs(held)
+                    held, token = [], t
+                held.append(tuple(row))
+        if len(held) > 1:
+            yield from pairs(held)
+
+    return members.select("token", "node", "root", "n", "bits").repartition("token").sortWithinPartitions("token").mapInArrow(look, "a long, b long")
+
+
 def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link; b is the centre of a star, whose members may be dealt to several tasks."""
     pairs = cut(pairs)
@@ -177,8 +232,10 @@ def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, perce
                 right = np.flatnonzero(found == batch.column("d1").to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(right)), pa.array([own[offsets[k] : offsets[k + 1]].tobytes() for k in right], pa.binary())], ["node", "s"])
 
-    texts = rows.join(wanted, rows["i"] == wanted["node"]).select("node", "d1", "t")
-    arrays = cut(texts.mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]))
+    wanted = cut(wanted)
+    few = wanted.count() <= MOST_BROADCAST
+    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["i"] == wanted["node"]).select("node", "d1", "t")
+    arrays = settle(texts.mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]))
     parts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")).select("b", F.ceil(F.col("k") / STAR_MEMBERS).alias("parts"))
     members = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")).join(arrays.withColumnRenamed("node", "a"), "a")
     centres = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(arrays.withColumnRenamed("node", "b"), "b")
@@ -207,33 +264,34 @@ def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_co
     """doc_id, n_shingles and component_id of every row."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
     signed = cut(signatures(rows, width, percent))
+    slim = cut(signed.select("doc_id", "n", "d1", "d2"))
     sets = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("x"))
-    sets = cut(sets.select("d1", "d2", F.col("x.doc_id").alias("node"), "x.n", "x.prefix", "x.bits"))
+    sets = settle(sets.select("d1", "d2", F.col("x.doc_id").alias("node"), "x.n", "x.prefix", "x.bits"))
+    del signed
     live = sets.where("node IS NOT NULL")
     tokens = _tokens(live)
-    tiles = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k"))
-    shared = cut(tokens.join(tiles.where("k > 1").select("token"), "token"))
+    tiles = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
+    shared = settle(tokens.join(tiles, "token"))
     # A star for each size band of a tile: bands are powers of 100 / percent, so members may link with their own centre or the one below.
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
     banded = shared.withColumn("band", band)
     centres = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("c"))
     near = centres.select("token", "band", "c").unionByName(centres.select("token", (F.col("band") + 1).alias("band"), "c"))
     pairs = banded.join(near, ["token", "band"]).where("node <> c.node").where(_sizes_fit("n", "c.n", percent)).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
-    tried = cut(_by_bits(pairs, live, percent))
-    links = cut(_exact(tried, rows, live, width, percent))
+    tried = settle(_by_bits(pairs, live, percent))
+    links = settle(_exact(tried, rows, live, width, percent))
     found = components(links)
     # What the stars left apart: pairs across the parts of a tile.
-    labelled = shared.join(found, "node", "left").select("token", "node", "n", F.coalesce("root", "node").alias("root"))
+    labelled = shared.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
     open_ = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    left = cut(labelled.join(open_, "token"))
-    other = left.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("root").alias("rb"))
-    across = left.join(other, "token").where("node > b AND root <> rb").where(_sizes_fit("n", "nb", percent)).select(F.col("node").alias("a"), "b").distinct()
-    more = cut(_by_bits(across, live, percent).join(tried, ["a", "b"], "left_anti").join(tried.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti"))
+    across = _across(labelled.join(open_, "token").join(live.select("node", "n", "bits"), "node"), percent).distinct()
+    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    more = settle(across.join(known, ["a", "b"], "left_anti"))
     if more.head(1):
         found = components(links.unionByName(_exact(more, rows, live, width, percent)))
     roots = sets.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
-    full = signed.where("n > 0").join(roots, ["d1", "d2"])
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")).unionByName(signed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    full = slim.where("n > 0").join(roots, ["d1", "d2"])
+    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")).unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

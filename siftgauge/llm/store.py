@@ -34,14 +34,18 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """`cut`, after which Spark drops the shuffle files that only the lineage before it needed.
+    """`cut`, before and after which Spark drops the shuffle files that only lineage already cut needed.
 
     Its cleaner removes them when the driver's JVM has collected what referred to them, as it does by itself only
     every half hour.
     """
-    out = cut(df)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for last in (False, True):
+        gc.collect()
+        df.sparkSession.sparkContext._jvm.System.gc()
+        if not last:
+            out = cut(df)
+            del df
+            df = out
     return out
 
 
