@@ -128,11 +128,12 @@ def score(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of `docs` that are kept, with their own columns."""
-    counted = with_features(docs, text_col)
-    q = F.col("_quality")
-    model = fit(with_features(docs.select(F.col(f"`{text_col}`")), text_col).select(votes(q).alias("votes")))
-    judged = counted.withColumn("_votes", votes(q))
-    return judged.where(~base_failed(q) & (probability("_votes", model) >= 0.5)).select(*(F.col(f"`{c}`") for c in docs.columns))
+    q, names = F.col("_quality"), [F.col(f"`{c}`") for c in docs.columns]
+    model = fit(cut(with_features(docs.select(F.col(f"`{text_col}`")), text_col).select(votes(q).alias("votes"))))
+    # A row number in the same projection keeps Catalyst from pushing the filter below it, which would repeat all counts.
+    judged = with_features(docs, text_col).select(*names, q, F.monotonically_increasing_id().alias("_row"))
+    voted = judged.select(*names, votes(q).alias("_votes"), base_failed(q).alias("_failed"), "_row")
+    return voted.where((F.col("_row") >= 0) & ~F.col("_failed") & (probability("_votes", model) >= 0.5)).select(*names)
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
