@@ -69,7 +69,7 @@ stage("tcount", "SELECT gid, sum(p3) AS p3, count(*) AS tiles FROM {tiles} GROUP
 for _norm, _n, _d in (("l1", "{x}", "{x}"), ("l2", "{x} * {x}", "{x} * {x}")):
     _e = [_n.replace("{x}", f"e{k}") for k in range(3)]
     _i = [_d.replace("{x}", f"d{k}") for k in range(3)]
-    stage(f"lev_{_norm}", f"SELECT e.gid, e.cam, e.batch, e.px, e.py, greatest({', '.join(f'({_e[k]}) / greatest({_i[k]}, {EPS})' for k in range(3))}) AS ch, {' + '.join(f'({_e[k]}) / greatest({_i[k]}, {EPS})' for k in range(3))} AS chs, {' + '.join(_e)} AS n, {' + '.join(_i)} AS d FROM {{eff}} e JOIN {{image}} i ON e.cam = i.cam AND e.px = i.px AND e.py = i.py", cut=True)
+    stage(f"lev_{_norm}", f"SELECT e.gid, e.cam, e.batch, e.px, e.py, greatest({', '.join(f'({_e[k]}) / greatest({_i[k]}, {EPS})' for k in range(3))}) AS ch, {' + '.join(f'({_e[k]}) / greatest({_i[k]}, {EPS})' for k in range(3))} AS chs, {_n.replace('{x}', '(e0 + e1 + e2)')} AS n, {_d.replace('{x}', '(d0 + d1 + d2)')} AS d FROM {{eff}} e JOIN {{image}} i ON e.cam = i.cam AND e.px = i.px AND e.py = i.py", cut=True)
     query(f"a01_per_channel_{_norm}", f"SELECT l.gid, round(least(1e0, max(ch)), 6) AS sens_max, round(least(1e0, sum(chs) / max(p3)), 6) AS sens_mean FROM {{lev_{_norm}}} l JOIN {{tcount}} t ON l.gid = t.gid GROUP BY l.gid")
     query(f"a02_per_pixel_{_norm}", f"SELECT l.gid, round(least(1e0, max(n / greatest(d, {EPS}))), 6) AS sens_max, round(least(1e0, sum(n / greatest(d, {EPS})) / (max(p3) / 3)), 6) AS sens_mean FROM {{lev_{_norm}}} l JOIN {{tcount}} t ON l.gid = t.gid GROUP BY l.gid")
     stage(f"pd_{_norm}", f"SELECT cam, batch, px, py, max(d) AS d FROM {{lev_{_norm}}} GROUP BY cam, batch, px, py")
