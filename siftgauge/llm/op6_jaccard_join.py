@@ -4,9 +4,11 @@
 2. Of a set of size n only the n - ceil(t n) + 1 first shingles in one global order go to tiles (a tile is a shingle):
    two sets that link share one of these.  The order puts shingles that are frequent in a bounded sample last; this
    steers the cost only, since any common order is exact.
+   Tiles whose members are the same are one tile.
 3. Inside a tile every set is paired with the smallest id of its own size band and of the band below; where the links
-   found so far do not yet join all of a tile, the pairs across its parts follow.  So a group of copies gives pairs with
-   its centres, not of all its members, and no link between parts is lost.
+   found so far do not yet join all of a tile, pairs across its parts follow: at first for each set those with the
+   fewest differing bits, then, where links of these leave parts, all.  So a group of copies gives pairs with its
+   centres, not of all its members, and no link between parts is lost.
 4. A pair is dropped by its sizes, then by bit counts: the bits in which two bitmaps of a size band differ are no more
    than the elements in which the sets differ, which bounds the overlap from above.  What is left is decided by the
    exact intersection of the sorted shingle arrays.
@@ -37,6 +39,10 @@ SAMPLE_DOCS, FREQUENT_FROM, MOST_FREQUENT = 4000, 4, 1 << 16
 STAR_MEMBERS = 20_000
 #: Sets to compare up to which their ids (16 bytes each) are broadcast; beyond it texts meet them by a shuffle join.
 MOST_BROADCAST = 500_000
+#: Partners that a set gets in each round of pairs across the parts of a tile; None: all, so that no link is lost.
+LIKELIEST = (4, None)
+#: Bits of a bitmap for each element, at least.
+BITS_EACH = 4
 _HOT = np.uint64(1 << 63)
 
 
@@ -64,9 +70,9 @@ def needed(n: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(own: np.ndarray) -> bytes:
-    """Signature of a set: 64 * 2^k bits, at least one for each element; bit = hash modulo the size."""
+    """Signature of a set: 64 * 2^k bits, at least BITS_EACH for each element; bit = hash modulo the size."""
     bits = 64
-    while bits < len(own):
+    while bits < BITS_EACH * len(own):
         bits *= 2
     flags = np.zeros(bits, bool)
     flags[(own & np.uint64(bits - 1)).astype(np.int64)] = True
@@ -165,42 +171,58 @@ def _by_bits(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").mapInArrow(test, "a long, b long")
 
 
-def _bit_rows(maps: list, bits: int) -> np.ndarray:
-    """Bitmaps as rows of one size, larger ones folded."""
-    out = np.zeros((len(maps), bits // 64), np.uint64)
-    for k, m in enumerate(maps):
-        x = np.frombuffer(m, np.uint64)
-        while len(x) > out.shape[1]:
-            x = x[: len(x) // 2] | x[len(x) // 2 :]
-        out[k] = x
-    return out
+class _Tile:
+    """Members of a tile in the order of their sizes, and their bitmaps as one matrix for each bitmap size."""
 
+    def __init__(self, rows: list[tuple]) -> None:
+        rows.sort(key=lambda r: (r[2], r[0]))
+        self.node, self.root, self.n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
+        width = np.array([len(r[3]) // 8 for r in rows])
+        self.kinds, self.first = np.unique(width, return_index=True)
+        self.end = np.r_[self.first[1:], len(rows)]
+        self.maps = {(k, w): np.frombuffer(b"".join(r[3] for r in rows[lo:hi]), np.uint64).reshape(-1, w) for k, (w, lo, hi) in enumerate(zip(self.kinds.tolist(), self.first.tolist(), self.end.tolist(), strict=True))}
+
+    def _folded(self, kind: int, width: int) -> np.ndarray:
+        if (kind, width) not in self.maps:
+            twice = self._folded(kind, 2 * width)
+            self.maps[kind, width] = twice[:, :width] | twice[:, width:]
+        return self.maps[kind, width]
+
+    def differing(self, i: int, lo: int, hi: int) -> np.ndarray:
+        """Differing bits of member i and the members from lo to hi - 1."""
+        own, out = int(np.searchsorted(self.first, i, "right")) - 1, []
+        for kind, (width, first, end) in enumerate(zip(self.kinds.tolist(), self.first.tolist(), self.end.tolist(), strict=True)):
+            x, y = max(lo, first), min(hi, end)
+            if x < y:
+                width = min(width, int(self.kinds[own]))
+                out.append(np.bitwise_count(self._folded(kind, width)[x - first : y - first] ^ self._folded(own, width)[i - self.first[own]]).sum(axis=1, dtype=np.int64))
+        return np.concatenate(out)
+
+
+def _tile_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b, left): for each row outside the largest part its `most` likeliest partners of other parts; left: it has more."""
+    tile = _Tile(rows)
+    node, root, n = tile.node, tile.root, tile.n
+    _, which = np.unique(root, return_inverse=True)
+    outside = which != np.bincount(which).argmax()
+    for i in np.flatnonzero(outside).tolist():
+        # Partners in the band; of two rows outside the largest part the later one looks.
+        lo, hi = int(np.searchsorted(n, -(-percent * n[i] // 100))), int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+        differ = tile.differing(i, lo, hi)
+        other = n[lo:hi]
+        ok = differ <= n[i] + other - 2 * (-(-percent * (n[i] + other) // (100 + percent)))
+        j = np.flatnonzero(ok & (root[lo:hi] != root[i]) & ((np.arange(lo, hi) < i) | ~outside[lo:hi]))
+        if not len(j):
+            continue
+        left = most is not None and len(j) > most
+        if left:
+            j = j[np.argsort(differ[j], kind="stable")[:most]]
+        j += lo
+        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[j], node[i])), pa.array(np.minimum(node[j], node[i])), pa.array(np.full(len(j), left))], ["a", "b", "left"])
 
-def _across(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of different parts (`root`) of a tile that sizes and bit counts allow.
-
-    A tile is ordered by size and compared in blocks; rows outside its largest part meet all rows in their band.
-    """
 
-    def pairs(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        rows.sort(key=lambda r: (r[2], r[0]))
-        node, root, n = (np.array([r[k] for r in rows], np.int64) for k in range(3))
-        kinds, which = np.unique(root, return_inverse=True)
-        rest = np.flatnonzero(which != np.bincount(which).argmax())
-        for i in rest.tolist():
-            # Partners in the band; of two rows outside the largest part the later one looks.
-            lo, hi = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, n[i] * 100 // percent, "right")
-            for at in range(lo, hi, 4096):
-                j = np.arange(at, min(hi, at + 4096))
-                j = j[(root[j] != root[i]) & ((j < i) | ~np.isin(j, rest, assume_unique=True))]
-                if not len(j):
-                    continue
-                own = np.frombuffer(rows[i][3], np.uint64)
-                bits = min(len(own) * 64, min(len(rows[k][3]) * 8 for k in (j[0], j[-1])))
-                differ = np.bitwise_count(_bit_rows([rows[k][3] for k in j.tolist()], bits) ^ _bit_rows([rows[i][3]], bits)).sum(axis=1)
-                ok = j[differ <= n[i] + n[j] - 2 * (-(-percent * (n[i] + n[j]) // (100 + percent)))]
-                if len(ok):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[ok], node[i])), pa.array(np.minimum(node[ok], node[i]))], ["a", "b"])
+def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
+    """Pairs (a, b) of different parts (`root`) of a tile that sizes and bit counts allow, and whether some are `left`."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -209,13 +231,14 @@ def _across(members: DataFrame, percent: int) -> DataFrame:
             for t, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "root", "n", "bits")), strict=True):
                 if t != token:
                     if len(held) > 1:
-                        yield from pairs(held)
+                        yield from _tile_pairs(held, percent, most)
                     held, token = [], t
                 held.append(tuple(row))
         if len(held) > 1:
-            yield from pairs(held)
+            yield from _tile_pairs(held, percent, most)
 
-    return members.select("token", "node", "root", "n", "bits").repartition("token").sortWithinPartitions("token").mapInArrow(look, "a long, b long")
+    dealt = members.select("token", "node", "root", "n", "bits").repartition("token").sortWithinPartitions("token")
+    return dealt.mapInArrow(look, "a long, b long, left boolean").groupBy("a", "b").agg(F.max("left").alias("left"))
 
 
 def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,10 +293,12 @@ def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_co
     del signed
     live = sets.where("node IS NOT NULL")
     tokens = _tokens(live)
-    tiles = settle(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token"))
+    # Tiles with the same members give the same pairs: one of them stays, as those of a shared passage mostly are.
+    of = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
+    tiles = settle(tokens.groupBy("token").agg(*of).where("k > 1").groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token"))
     shared = settle(tokens.join(tiles, "token"))
     # A star for each size band of a tile: bands are powers of 100 / percent, so members may link with their own centre or the one below.
-    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent))).cast("int")
+    band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     banded = shared.withColumn("band", band)
     centres = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("c"))
     near = centres.select("token", "band", "c").unionByName(centres.select("token", (F.col("band") + 1).alias("band"), "c"))
@@ -281,14 +306,20 @@ def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_co
     tried = settle(_by_bits(pairs, live, percent))
     links = settle(_exact(tried, rows, live, width, percent))
     found = components(links)
-    # What the stars left apart: pairs across the parts of a tile.
-    labelled = shared.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
-    open_ = labelled.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    across = _across(labelled.join(open_, "token").join(live.select("node", "n", "bits"), "node"), percent).distinct()
-    known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    more = settle(across.join(known, ["a", "b"], "left_anti"))
-    if more.head(1):
-        found = components(links.unionByName(_exact(more, rows, live, width, percent)))
+    # What the stars left apart: pairs across the parts of a tile, the likeliest first, then all that are still apart.
+    for most in LIKELIEST:
+        labelled = shared.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+        # Two members have been compared: one of them is a centre of the other.
+        open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("x"), F.max("root").alias("y")).where("k > 2 AND x <> y").select("token")
+        across = cut(_across(labelled.join(open_, "token").join(live.select("node", "n", "bits"), "node"), percent, most))
+        known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = settle(across.select("a", "b").join(known, ["a", "b"], "left_anti"))
+        if more.head(1):
+            tried = tried.unionByName(more)
+            links = links.unionByName(settle(_exact(more, rows, live, width, percent)))
+            found = components(links)
+        if not across.where("left").head(1):
+            break
     roots = sets.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
     full = slim.where("n > 0").join(roots, ["d1", "d2"])
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")).unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

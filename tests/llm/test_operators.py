@@ -175,6 +175,15 @@ def test_jaccard_join(spark, docs, width, percent):
     assert sorted(tuple(r) for r in op6_jaccard_join.linked(many, width=width, percent=percent).collect()) == want
 
 
+def test_tile_bitmaps():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in rng.integers(1, 400, 60)]
+    tile = op6_jaccard_join._Tile([(k, k, len(x), op6_jaccard_join.bitmap(x)) for k, x in enumerate(sets)])
+    for i in range(len(sets)):
+        found = tile.differing(i, 3, 57).tolist()
+        assert found == [op6_jaccard_join.differing_bits(op6_jaccard_join.bitmap(sets[tile.node[i]]), op6_jaccard_join.bitmap(sets[k])) for k in tile.node[3:57]]
+
+
 def test_sharding(spark, docs):
     for shards in (1, 3, 24):
         rows = op7_sharding.shard_rows(docs, shards).collect()
