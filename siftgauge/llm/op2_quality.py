@@ -127,13 +127,19 @@ def score(docs: DataFrame, text_col: str = "text", keys: tuple[str, ...] = ("doc
 
 
 def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that are kept, with their own columns."""
-    q, names = F.col("_quality"), [F.col(f"`{c}`") for c in docs.columns]
-    model = fit(cut(with_features(docs.select(F.col(f"`{text_col}`")), text_col).select(votes(q).alias("votes"))))
-    # A row number in the same projection keeps Catalyst from pushing the filter below it, which would repeat all counts.
-    judged = with_features(docs, text_col).select(*names, q, F.monotonically_increasing_id().alias("_row"))
-    voted = judged.select(*names, votes(q).alias("_votes"), base_failed(q).alias("_failed"), "_row")
-    return voted.where((F.col("_row") >= 0) & ~F.col("_failed") & (probability("_votes", model) >= 0.5)).select(*names)
+    """The rows of `docs` that are kept, with their own columns.
+
+    Texts are counted once: votes are held under two hashes of the row (maps have none and stay out), by which the
+    rows meet their verdicts, so that copies of a text do not meet in one task.
+    """
+    rows = F.struct(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
+    keyed = docs.withColumns({"_quality_a": F.xxhash64(rows), "_quality_b": F.xxhash64(F.lit(1), rows)})
+    keys = ("_quality_a", "_quality_b")
+    q = F.col("_quality")
+    counted = with_features(keyed.select(F.col(f"`{text_col}`"), *keys), text_col)
+    held = cut(counted.select(*keys, votes(q).alias("_votes"), base_failed(q).alias("_failed")))
+    kept = held.where(~F.col("_failed") & (probability("_votes", fit(held, "_votes")) >= 0.5)).select(*keys)
+    return keyed.join(kept, list(keys), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
