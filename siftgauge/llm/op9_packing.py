@@ -1,8 +1,9 @@
 """Packing into optimal length buckets.
 
-Token counts come from the tokenizer; their histogram over all documents has at most MAX_LEVELS levels (equal to single
-lengths while the longest document has no more tokens than that, ranges of equal width beyond).  Dynamic programming
-over the levels picks at most `buckets` boundaries with the least padding.  Inside a bucket documents are numbered
+Token counts come from the tokenizer; the driver gets their histogram, one row for each distinct length, of which there
+are never more than the square root of twice all tokens.  Dynamic programming over the lengths picks at most `buckets`
+boundaries with the least padding; a step costs one pass, as the best predecessors are the lower hull of lines.
+Inside a bucket documents are numbered
 without gaps and every budget // boundary of them make a batch (one where a document alone exceeds the budget).
 
 Defined results: null and empty texts have the end id only; ties in length share a bucket; repeated rows are packed
@@ -22,7 +23,7 @@ from . import ranks
 from . import text as tx
 from .store import cut
 
-MAX_LEVELS, BUCKETS, BUDGET = 4096, 16, 65_536
+BUCKETS, BUDGET = 16, 65_536
 
 
 def best_boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, buckets: int) -> list[int]:
@@ -30,17 +31,26 @@ def best_boundaries(longest: np.ndarray, counts: np.ndarray, sums: np.ndarray, b
 
     Levels ascend; `longest` is the longest length of each, `counts` and `sums` its documents and their tokens.
     """
-    n, total = np.r_[0, np.cumsum(counts)].astype(np.float64), np.r_[0, np.cumsum(sums)].astype(np.float64)
-    m = len(longest)
-    cost = np.r_[0.0, np.full(m, np.inf)]
+    n, total = ([0, *np.cumsum(x).tolist()] for x in (counts, sums))
+    tops, m = longest.tolist(), len(longest)
+    cost: list[int | None] = [0] + [None] * m
     choice = []
     for _ in range(min(buckets, m)):
-        new, back = np.full(m + 1, np.inf), np.zeros(m + 1, np.int64)
-        new[0] = 0
+        new, back = [0] * (m + 1), [0] * (m + 1)
+        # Of the lines cost[i] + total[i] - n[i] * length the least at each length; slopes fall and lengths grow.
+        hull: list[tuple[int, int, int]] = []
+        at = 0
         for j in range(1, m + 1):
-            tried = cost[:j] + longest[j - 1] * (n[j] - n[:j]) - (total[j] - total[:j])
-            back[j] = tried.argmin()
-            new[j] = tried[back[j]]
+            if cost[j - 1] is not None:
+                slope, base = -n[j - 1], cost[j - 1] + total[j - 1]
+                while len(hull) > 1 and (base - hull[-2][1]) * (hull[-2][0] - hull[-1][0]) <= (hull[-1][1] - hull[-2][1]) * (hull[-2][0] - slope):
+                    hull.pop()
+                hull.append((slope, base, j - 1))
+                at = min(at, len(hull) - 1)
+            while at + 1 < len(hull) and hull[at + 1][0] * tops[j - 1] + hull[at + 1][1] <= hull[at][0] * tops[j - 1] + hull[at][1]:
+                at += 1
+            slope, base, back[j] = hull[at]
+            new[j] = slope * tops[j - 1] + base + tops[j - 1] * n[j] - total[j]
         choice.append(back)
         cost = new
     out, j = [], m
@@ -68,10 +78,9 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 def pack(lengths: DataFrame, *, buckets: int = BUCKETS, budget: int = BUDGET) -> DataFrame:
     """bucket, padded_length, batch and place of every row of (doc_id, n_tokens)."""
     rows = cut(ranks.in_blocks(lengths, [F.col("doc_id")], cut_rows(lengths)))
-    top = rows.agg(F.max("n_tokens")).first()[0] or 0
-    width = max(1, -(-top // MAX_LEVELS))
-    levels = rows.groupBy(F.floor((F.col("n_tokens") - 1) / width).alias("l")).agg(F.max("n_tokens").alias("m"), F.count(F.lit(1)).alias("n"), F.sum("n_tokens").alias("s")).orderBy("l").collect()
-    bounds = best_boundaries(*(np.array([r[k] for r in levels], np.int64) for k in "mns"), buckets) if levels else []
+    levels = rows.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n")).orderBy("n_tokens").toArrow()
+    longest, counts = (levels.column(k).to_numpy() for k in ("n_tokens", "n"))
+    bounds = best_boundaries(longest, counts, longest * counts, buckets)
     bucket = F.lit(0)
     for b in bounds[:-1]:
         bucket = bucket + F.when(F.col("n_tokens") > b, 1).otherwise(0)

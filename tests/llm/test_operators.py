@@ -237,6 +237,22 @@ def test_packing(spark, docs):
     assert op9_packing.pack(spark.createDataFrame([], "doc_id long, n_tokens long")).count() == 0
 
 
+def test_packing_is_the_least_padding(spark):
+    for _ in range(40):
+        lengths = np.unique(R.integers(1, 300, R.integers(1, 60)))
+        counts, k = R.integers(1, 50, len(lengths)), int(R.integers(1, 7))
+        least = np.r_[0.0, np.full(len(lengths), np.inf)]
+        cost = lambda i, j: int(((lengths[j - 1] - lengths[i:j]) * counts[i:j]).sum())
+        for _ in range(k):
+            least = np.array([0.0] + [min(least[i] + cost(i, j) for i in range(j)) for j in range(1, len(lengths) + 1)])
+        bounds = op9_packing.best_boundaries(lengths, counts, lengths * counts, k)
+        assert len(bounds) <= k and sum(int(c) * (min(b for b in bounds if b >= x) - int(x)) for x, c in zip(lengths, counts)) == least[-1]
+    # One long document leaves the others' boundaries where they are.
+    rows = [(k, 1 + k % 3) for k in range(300)] + [(999, 1_000_000)]
+    packed = op9_packing.pack(spark.createDataFrame(rows, "doc_id long, n_tokens long"), buckets=4).collect()
+    assert sorted({r["padded_length"] for r in packed}) == [1, 2, 3, 1_000_000] and all(r["padded_length"] == r["n_tokens"] for r in packed)
+
+
 def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, PASSAGE), (2, "theta one"), (3, ""), (None, "one"), (10, "one"), (4, None), (1, PASSAGE)], "item_id long, text string")
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
