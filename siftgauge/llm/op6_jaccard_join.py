@@ -1,11 +1,12 @@
 """Exact n-gram Jaccard join in size-banded tiles with hashed bitmap signatures.
 
-1. A document becomes its set of hashed shingles.  Equal sets are collapsed: the smallest id stands for them.
+1. A document becomes its set of hashed shingles.  Equal sets are collapsed and numbered in the order of
+   their smallest ids, last those of null ids only.  The number stands for the set: ids may be null or repeated.
 2. Of a set of size n only the n - ceil(t n) + 1 first shingles in one global order go to tiles (a tile is a shingle):
    two sets that link share one of these.  The order puts shingles that are frequent in a bounded sample last; this
    steers the cost only, since any common order is exact.
    Tiles whose members are the same are one tile.
-3. Inside a tile every set is paired with the smallest id of its own size band and of the band below; where the links
+3. Inside a tile every set is paired with the smallest number of its own size band and of the band below; where the links
    found so far do not yet join all of a tile, pairs across its parts follow: at first for each set those with the
    fewest differing bits, then, where links of these leave parts, all.  So a group of copies gives pairs with its
    centres, not of all its members, and no link between parts is lost.
@@ -16,7 +17,7 @@
 
 Defined results: documents without words (null, empty) have size 0 and are linked with nothing; fewer words than a
 shingle make one shingle; repeated rows and ties are equal sets, and the smallest id names the component; a null id
-takes part, but never names a component of others; an empty table gives an empty result; further columns do not matter.
+takes part, but never names a component of others; an id with several texts is in the component of each; an empty table gives an empty result; further columns do not matter.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as tx
@@ -37,7 +38,7 @@ WIDTH, PERCENT = 4, 85
 SAMPLE_DOCS, FREQUENT_FROM, MOST_FREQUENT = 4000, 4, 1 << 16
 #: Members of one star that one task compares with its centre.
 STAR_MEMBERS = 20_000
-#: Sets to compare up to which their ids (16 bytes each) are broadcast; beyond it texts meet them by a shuffle join.
+#: Sets to compare up to which their numbers (24 bytes each) are broadcast; beyond it texts meet them by a shuffle join.
 MOST_BROADCAST = 500_000
 #: Partners that a set gets in each round of pairs across the parts of a tile; None: all, so that no link is lost.
 LIKELIEST = (4, None)
@@ -105,8 +106,13 @@ def _frequent(rows: DataFrame, width: int) -> np.ndarray:
     return np.array([r["s"] for r in reversed(top)], np.int64).view(np.uint64)
 
 
+def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """What rows are known by: equal for repeated rows, and defined for null ids."""
+    return F.xxhash64(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string"))
+
+
 def signatures(rows: DataFrame, width: int, percent: int) -> DataFrame:
-    """doc_id, n, d1, d2 (a digest of the set), prefix and bits of every row of (i, t)."""
+    """doc_id, row, n, d1, d2 (a digest of the set), prefix and bits of every row of (i, t, row)."""
     frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, width))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,9 +138,9 @@ def signatures(rows: DataFrame, width: int, percent: int) -> DataFrame:
                     first = np.argpartition(keys, p - 1)[:p] if 0 < p < len(own) else np.arange(len(own))
                     prefixes.append(own[first].tobytes())
                     maps.append(bitmap(own))
-                yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(n), pa.array(d1), pa.array(d2), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())], ["doc_id", "n", "d1", "d2", "prefix", "bits"])
+                yield pa.RecordBatch.from_arrays([batch.column("i"), batch.column("row"), pa.array(n), pa.array(d1), pa.array(d2), pa.array(prefixes, pa.binary()), pa.array(maps, pa.binary())], ["doc_id", "row", "n", "d1", "d2", "prefix", "bits"])
 
-    return rows.mapInArrow(sign, "doc_id long, n long, d1 long, d2 long, prefix binary, bits binary")
+    return rows.mapInArrow(sign, "doc_id long, row long, n long, d1 long, d2 long, prefix binary, bits binary")
 
 
 def _tokens(sets: DataFrame) -> DataFrame:
@@ -244,7 +250,7 @@ def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
 def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) that link; b is the centre of a star, whose members may be dealt to several tasks."""
     pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "d1"), "node")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "d1", "row"), "node")
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -257,7 +263,7 @@ def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, perce
 
     wanted = cut(wanted)
     few = wanted.count() <= MOST_BROADCAST
-    texts = rows.join(F.broadcast(wanted) if few else wanted, rows["i"] == wanted["node"]).select("node", "d1", "t")
+    texts = rows.join(F.broadcast(wanted) if few else wanted, "row").select("node", "d1", "t")
     arrays = settle(texts.mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]))
     parts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")).select("b", F.ceil(F.col("k") / STAR_MEMBERS).alias("parts"))
     members = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")).join(arrays.withColumnRenamed("node", "a"), "a")
@@ -283,16 +289,17 @@ def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, perce
     return together.mapInArrow(compare, "u long, v long")
 
 
-def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
+def members(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, row (its `row_hash`), n_shingles, component (a number; null without words) and component_id of every row."""
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"), row_hash(id_col, text_col).alias("row"))
     signed = cut(signatures(rows, width, percent))
-    slim = cut(signed.select("doc_id", "n", "d1", "d2"))
-    sets = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "n", "prefix", "bits")).alias("x"))
-    sets = settle(sets.select("d1", "d2", F.col("x.doc_id").alias("node"), "x.n", "x.prefix", "x.bits"))
+    slim = cut(signed.select("doc_id", "row", "n", "d1", "d2"))
+    least = slim.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
+    numbers = cut(least.orderBy(F.col("least").asc_nulls_last(), "d1", "d2").withColumn("node", F.monotonically_increasing_id()))
+    sets = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("row", "n", "prefix", "bits")).alias("x")).join(numbers, ["d1", "d2"])
+    sets = settle(sets.select("d1", "d2", "node", "x.row", "x.n", "x.prefix", "x.bits"))
     del signed
-    live = sets.where("node IS NOT NULL")
-    tokens = _tokens(live)
+    tokens = _tokens(sets)
     # Tiles with the same members give the same pairs: one of them stays, as those of a shared passage mostly are.
     of = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
     tiles = settle(tokens.groupBy("token").agg(*of).where("k > 1").groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token"))
@@ -303,26 +310,33 @@ def linked(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_co
     centres = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("c"))
     near = centres.select("token", "band", "c").unionByName(centres.select("token", (F.col("band") + 1).alias("band"), "c"))
     pairs = banded.join(near, ["token", "band"]).where("node <> c.node").where(_sizes_fit("n", "c.n", percent)).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
-    tried = settle(_by_bits(pairs, live, percent))
-    links = settle(_exact(tried, rows, live, width, percent))
+    tried = settle(_by_bits(pairs, sets, percent))
+    links = settle(_exact(tried, rows, sets, width, percent))
     found = components(links)
     # What the stars left apart: pairs across the parts of a tile, the likeliest first, then all that are still apart.
     for most in LIKELIEST:
         labelled = shared.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
         # Two members have been compared: one of them is a centre of the other.
         open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("x"), F.max("root").alias("y")).where("k > 2 AND x <> y").select("token")
-        across = cut(_across(labelled.join(open_, "token").join(live.select("node", "n", "bits"), "node"), percent, most))
+        across = cut(_across(labelled.join(open_, "token").join(sets.select("node", "n", "bits"), "node"), percent, most))
         known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
         more = settle(across.select("a", "b").join(known, ["a", "b"], "left_anti"))
         if more.head(1):
             tried = tried.unionByName(more)
-            links = links.unionByName(settle(_exact(more, rows, live, width, percent)))
+            links = links.unionByName(settle(_exact(more, rows, sets, width, percent)))
             found = components(links)
         if not across.where("left").head(1):
             break
-    roots = sets.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("root"))
-    full = slim.where("n > 0").join(roots, ["d1", "d2"])
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "doc_id").alias("component_id")).unionByName(slim.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    # The root is the least number of a component, so its least id is that of the component.
+    roots = numbers.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component"))
+    roots = roots.join(numbers.select(F.col("node").alias("component"), F.col("least").alias("component_id")), "component")
+    full = slim.where("n > 0").join(roots, ["d1", "d2"]).select("doc_id", "row", F.col("n").alias("n_shingles"), "component", "component_id")
+    return full.unionByName(slim.where("n = 0").select("doc_id", "row", F.col("n").alias("n_shingles"), F.lit(None).cast("long").alias("component"), F.col("doc_id").alias("component_id")))
+
+
+def linked(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles and component_id of every row."""
+    return members(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -175,6 +175,26 @@ def test_jaccard_join(spark, docs, width, percent):
     assert sorted(tuple(r) for r in op6_jaccard_join.linked(many, width=width, percent=percent).collect()) == want
 
 
+def test_jaccard_join_null_and_repeated_ids(spark):
+    text = lambda k, tail="": " ".join(f"v{k}x{j}" for j in range(60)) + tail
+    rows = [(None, text(0)), (5, text(0)), (7, text(0)), (3, text(0, " more")), (None, text(0, " end"))]  # a null id in a group of equals
+    rows += [(None, text(1)), (None, text(1)), (None, text(1, " end"))]  # null ids only
+    rows += [(20, text(2)), (20, text(3)), (21, text(2, " end")), (22, text(3, " end")), (19, text(3, " more"))]  # an id with two texts
+    rows += [(20, text(4)), (None, ""), (None, text(5))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = [set(zip(*(t.split()[k:] for k in range(4)))) for _, t in rows]
+    near = lambda a, b: 100 * len(a & b) >= 85 * max(1, len(a | b))
+    least = lambda a: min((r[0] for r, b in zip(rows, sets) if near(a, b) and r[0] is not None), default=None)
+    want = [(r[0], len(a), least(a) if a else r[0]) for r, a in zip(rows, sets)]
+    assert sorted(map(tuple, op6_jaccard_join.linked(docs).collect()), key=str) == sorted(want, key=str)
+
+    import corpus_pipeline
+
+    kept = [tuple(r) for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()]
+    ids = {0: [3], 1: [None], 2: [20], 3: [19], 4: [20], 5: [None]}
+    assert {k: [i for i, t in kept if t.startswith(f"v{k}x")] for k in ids} == ids and (None, "") in kept and len(kept) == 7
+
+
 def test_tile_bitmaps():
     rng = np.random.default_rng(5)
     sets = [np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64)) for n in rng.integers(1, 400, 60)]
