@@ -115,7 +115,7 @@ def repeated_runs(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_b
     hot = shares.where(F.col("b") > shard_bytes).select("h", F.ceil(F.col("b") / shard_bytes).alias("parts"))
     pieces = texts.select(F.col("t").cast("binary").alias("t"), "of").mapInArrow(take, "h long, c long, k long, s binary")
     dealt = pieces.join(hot, "h", "left").withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.pmod("c", "parts"))).withColumn("hot", F.col("parts").isNotNull()).drop("parts")
-    dealt = dealt.repartition("h", "part").sortWithinPartitions("h", "part")
+    dealt = dealt.repartition("h", "part").sortWithinPartitions("h", "part", "c")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Shards of whole (h, part) groups; of hot anchors also a row for each window to merge."""
@@ -139,9 +139,12 @@ def repeated_runs(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_b
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["h", "c", "runs", "windows"])
 
-        last = None
+        last = piece = None
         for batch in batches:
             for row in zip(*(batch.column(x).to_pylist() for x in ("h", "part", "c", "k", "hot", "s")), strict=True):
+                if row[:3] == piece:  # a repeated row gives its pieces as often as it stands
+                    continue
+                piece = row[:3]
                 if size > shard_bytes and (row[0], row[1]) != last:
                     yield shard()
                     size = 0

@@ -57,6 +57,15 @@ def test_suffix_dedup(spark, docs, shard_bytes):
     assert op1_suffix_dedup.deduplicate(empty(spark)).count() == 0
 
 
+def test_suffix_dedup_repeated_row_of_a_split_anchor(spark):
+    core = " ".join(f"core{k}" for k in range(26))
+    rows = [(k, f"{k:03d}" * 30 + core + f"{k + 500:03d}" * (k % 5)) for k in range(24)]
+    rows += [rows[0], (None, rows[1][1]), (None, rows[1][1]), rows[2], rows[2]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(tuple(r)[1:] for r in op1_suffix_dedup.deduplicate(docs, shard_bytes=900).collect())
+    assert got == brute_removed([t for _, t in rows], 200)
+
+
 def test_suffix_array_and_prefixes():
     for _ in range(60):
         parts = [bytes(R.integers(97, 99, R.integers(1, 40)).astype(np.uint8)) for _ in range(R.integers(1, 5))]
