@@ -1,14 +1,15 @@
-"""Main text of web pages by equivalence-class template deduction.
+"""Main text of web pages by enclosing tags, and by token classes where a page has no article element.
 
 1. A page becomes tokens: tags (name, class and id), end tags and whole text nodes.
 2. Per host, a token's occurrence vector says how often each page has it.  Vectors are compared by two sums over the
    pages of page hash * count, which aggregate partially, so that no host is ever in one task.  Tokens with equal
    vectors that at least half of the host's pages have form an equivalence class; a class is large if it has two tokens.
-3. Classes are nested by where their tags open and close in a page: a class is valid there if its tokens occur as
-   often as its vector says and its tags close in order.  What stands between the tokens of valid classes are slots.
-4. Slots inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-   dropped by their enclosing tags, as are text nodes that belong to a valid class outside the article.  The slots that
-   are left, inside article or main where a page has them, are the text.
+3. A class is valid in a page if its tokens occur as often as its vector says.  Order and nesting of classes are not
+   checked, roles of a token are not told apart by position, and no slots are derived: this part of template deduction
+   is not built.
+4. Text nodes inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
+   dropped by their enclosing tags (a list of tags and of words in class, id and role).  Where a page has an article
+   or main, what is left inside is the text, and the classes are not consulted; elsewhere text nodes of a valid class go.
 
 Blocks end at block-level tags; references are decoded; white space in a block becomes one space; empty blocks go.
 Defined results: null or empty html gives an empty text; unclosed elements end with their parent; a page without url
