@@ -8,8 +8,9 @@ A byte goes if a string of `width` bytes that covers it also starts anywhere els
    Equal contexts are aggregated first: one stands for all and carries their count.
 3. Contexts go to shards by anchor.  A shard builds its suffix array by Larsson-Sadakane refinement, then Kasai's
    common prefixes: a window is repeated if it shares `width` bytes with a neighbour, or its context stands for several.
-4. Contexts of one anchor beyond SHARD_BYTES are split over shards.  Their windows that are unique in their shard are
-   merged across shards: sorted by content and looked up in the other shards' lists by binary search.
+4. Contexts of one anchor beyond SHARD_BYTES are split over shards.  Across shards they are
+   not merged by binary search in sorted lists: 64-bit prints of all their windows are counted by a hash aggregation,
+   whose partial sums keep a window that many contexts share out of one task.  Results are the same up to collisions.
 5. Repeated runs return to the documents, where their union is cut out.
 
 Rows are known by a hash of id and text, so repeated rows are found in each other.  Strings are judged on the input.
@@ -161,7 +162,7 @@ def repeated_runs(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_b
 
 
 def _merge(hot: DataFrame) -> DataFrame:
-    """(h, c, runs) of windows of split anchors that stand in several shards, found by binary search."""
+    """(h, c, runs) of windows of split anchors that stand in several contexts, found by counting their prints."""
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
