@@ -11,7 +11,7 @@ from siftgauge.llm.store import new_folder
 
 #: Near-duplicate stages take five words and a similarity of 0.8.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
-#: The stages cannot be expressed in SQL; tests hold them against brute-force versions.
+#: No SQL is registered; the README names the tests of the operators that stand in for it.
 ORACLE_SQL = None
 
 
