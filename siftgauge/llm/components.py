@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import Tables
 
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
@@ -20,15 +20,17 @@ def _step(edges: DataFrame, large: bool) -> DataFrame:
     return hung.where("u > v").distinct()
 
 
-def components(edges: DataFrame, most_steps: int = 100) -> DataFrame:
-    """(node, root) of every node in `edges` (u, v) other than the roots; the root is the least node of the component."""
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """(node, root) of every node in `edges` (u, v) other than the roots; the root is the least node of the component.
+
+    Steps go on until nothing changes, which takes a number of them that grows with the logarithm of the longest path.
+    """
+    tables = Tables(edges.sparkSession, "components")
+    edges = tables.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    was = mark(edges)
-    for _ in range(most_steps):
-        edges = cut(_step(_step(edges, True), False))
-        now = mark(edges)
-        if now == was:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        was = now
-    raise RuntimeError("components did not converge")
+    was = None
+    while (now := mark(edges)) != was:
+        was, last = now, edges
+        edges = tables.write(_step(_step(edges, True), False))
+        tables.drop(last)
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

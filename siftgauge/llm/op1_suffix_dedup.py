@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from . import suffixes
 from . import text as tx
-from .store import cut, settle
+from .store import Tables, cut
 
 WIDTH, GRAM = 200, 32
 #: Bytes of contexts in one suffix array, and of one anchor in one shard.

@@ -3,8 +3,9 @@
 1. A document becomes its set of hashed shingles.  Equal sets are collapsed and numbered in the order of
    their smallest ids, last those of null ids only.  The number stands for the set: ids may be null or repeated.
 2. Of a set of size n only the n - ceil(t n) + 1 first shingles in one global order go to tiles (a tile is a shingle):
-   two sets that link share one of these.  The order puts shingles that are frequent in a bounded sample last; this
-   steers the cost only, since any common order is exact.
+   two sets that link share one of these.  The order is that of the hashes, but puts the shingles that are most frequent
+   last.  They are counted over all rows, in the prefixes that the order of hashes alone would give; this steers the
+   cost only, since any common order is exact.
    Tiles whose members are the same are one tile.
 3. Inside a tile every set is paired with the smallest number of its own size band and of the band below; where the links
    found so far do not yet join all of a tile, pairs across its parts follow: at first for each set those with the
@@ -31,11 +32,11 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .store import cut, settle
+from .store import Tables
 
 WIDTH, PERCENT = 4, 85
-#: Labelled bounds of the sample that finds frequent shingles, and of what is kept of them.
-SAMPLE_DOCS, FREQUENT_FROM, MOST_FREQUENT = 4000, 4, 1 << 16
+#: Documents beyond which a shingle is frequent, and how many of the most frequent are known to all tasks (8 bytes each).
+FREQUENT_FROM, MOST_FREQUENT = 16, 1 << 17
 #: Members of one star that one task compares with its centre.
 STAR_MEMBERS = 20_000
 #: Sets to compare up to which their numbers (24 bytes each) are broadcast; beyond it texts meet them by a shuffle join.
@@ -90,20 +91,20 @@ def differing_bits(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _frequent(rows: DataFrame, width: int) -> np.ndarray:
-    """Frequent shingles of a bounded sample, rarest first."""
-    n = rows.count()
-    share = min(1 << 20, -(-SAMPLE_DOCS * (1 << 20) // max(n, 1)))
+def _frequent(rows: DataFrame, width: int, percent: int) -> np.ndarray:
+    """Shingles that more than FREQUENT_FROM documents have among their least hashes, rarest first; counted over all rows."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in tx.row_chunks(whole, "t"):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_sets(batch.column("t"), width)[0].view(np.int64))], ["s"])
+                sets, offsets = shingle_sets(batch.column("t"), width)
+                n = np.diff(offsets)
+                row, k = tx.expand(np.where(n > 0, n - needed(n, percent) + 1, 0))
+                yield pa.RecordBatch.from_arrays([pa.array(sets[offsets[row] + k].view(np.int64))], ["s"])
 
-    sample = rows.where(F.pmod(F.xxhash64("t"), F.lit(1 << 20)) < share).select("t").distinct()
-    counted = sample.mapInArrow(split, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= FREQUENT_FROM)
-    top = counted.orderBy(F.col("k").desc(), "s").limit(MOST_FREQUENT).collect()
-    return np.array([r["s"] for r in reversed(top)], np.int64).view(np.uint64)
+    counted = rows.select("t").mapInArrow(split, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FREQUENT_FROM)
+    top = counted.orderBy(F.col("k").desc(), "s").limit(MOST_FREQUENT).select("s").toArrow()
+    return top.column("s").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
 def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
@@ -113,7 +114,7 @@ def row_hash(id_col: str = "doc_id", text_col: str = "text") -> Column:
 
 def signatures(rows: DataFrame, width: int, percent: int) -> DataFrame:
     """doc_id, row, n, d1, d2 (a digest of the set), prefix and bits of every row of (i, t, row)."""
-    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, width))
+    frequent = rows.sparkSession.sparkContext.broadcast(_frequent(rows, width, percent))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot = frequent.value
@@ -143,19 +144,34 @@ def signatures(rows: DataFrame, width: int, percent: int) -> DataFrame:
     return rows.mapInArrow(sign, "doc_id long, row long, n long, d1 long, d2 long, prefix binary, bits binary")
 
 
-def _tokens(sets: DataFrame) -> DataFrame:
-    """(token, node, n) for each prefix shingle."""
+def _tiles(sets: DataFrame) -> DataFrame:
+    """(token, node) for each prefix shingle that several sets have."""
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
                 prefixes = batch.column("prefix").to_pylist()
-                counts = np.array([len(p) // 8 for p in prefixes])
-                repeat = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts))
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), repeat("node"), repeat("n")], ["token", "node", "n"])
+                node = np.repeat(batch.column("node").to_numpy(), [len(p) // 8 for p in prefixes])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(prefixes), np.int64)), pa.array(node)], ["token", "node"])
+
+    def several(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in the order of their tokens those whose token also stands beside them; the last row waits for the next batch."""
+        token, node = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        before = None
+        for batch in batches:
+            token, node = np.r_[token, batch.column("token").to_numpy()], np.r_[node, batch.column("node").to_numpy()]
+            if len(token) < 2:
+                continue
+            same = token[1:] == token[:-1]
+            keep = np.r_[before is not None and token[0] == before, same[:-1]] | same
+            yield pa.RecordBatch.from_arrays([pa.array(token[:-1][keep]), pa.array(node[:-1][keep])], ["token", "node"])
+            before, token, node = token[-2], token[-1:], node[-1:]
+        if len(token) and before is not None and token[0] == before:
+            yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(node)], ["token", "node"])
 
-    return sets.select("prefix", "node", "n").mapInArrow(split, "token long, node long, n long")
+    every = sets.select("prefix", "node").mapInArrow(split, "token long, node long")
+    return every.repartition("token").sortWithinPartitions("token").mapInArrow(several, "token long, node long")
 
 
 def _sizes_fit(a: str, b: str, percent: int) -> str:
@@ -247,10 +263,13 @@ def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
     return dealt.mapInArrow(look, "a long, b long, left boolean").groupBy("a", "b").agg(F.max("left").alias("left"))
 
 
-def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int, tables: Tables) -> DataFrame:
     """Pairs (a, b) that link; b is the centre of a star, whose members may be dealt to several tasks."""
-    pairs = cut(pairs)
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(sets.select("node", "d1", "row"), "node")
+    parts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")).select("b", F.ceil(F.col("k") / STAR_MEMBERS).alias("parts"))
+    members = pairs.join(parts, "b").select(F.col("a").alias("node"), "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"))
+    centres = parts.select(F.col("b").alias("node"), "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
+    places = tables.write(members.unionByName(centres))
+    wanted = tables.write(places.select("node").distinct().join(sets.select("node", "d1", "row"), "node"))
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -261,72 +280,80 @@ def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, perce
                 right = np.flatnonzero(found == batch.column("d1").to_numpy())
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(pa.array(right)), pa.array([own[offsets[k] : offsets[k + 1]].tobytes() for k in right], pa.binary())], ["node", "s"])
 
-    wanted = cut(wanted)
     few = wanted.count() <= MOST_BROADCAST
     texts = rows.join(F.broadcast(wanted) if few else wanted, "row").select("node", "d1", "t")
-    arrays = settle(texts.mapInArrow(shingle, "node long, s binary").dropDuplicates(["node"]))
-    parts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("k")).select("b", F.ceil(F.col("k") / STAR_MEMBERS).alias("parts"))
-    members = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part")).join(arrays.withColumnRenamed("node", "a"), "a")
-    centres = parts.select("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).join(arrays.withColumnRenamed("node", "b"), "b")
-    together = members.select("b", "part", "a", "s").unionByName(centres.select("b", "part", F.lit(None).cast("long").alias("a"), "s"))
-    together = together.repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+    # A centre (b, part) is sent its members and itself; rows of it stand first, and a repeated row gives an array twice.
+    together = texts.mapInArrow(shingle, "node long, s binary").join(places, "node").select("b", "part", (F.col("node") != F.col("b")).alias("member"), "node", "s")
+    together = together.repartition("b", "part").sortWithinPartitions("b", "part", "member", "node")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        centre = np.zeros(0, np.uint64)
+        centre, last = np.zeros(0, np.uint64), None
         for batch in batches:
             links: list[tuple[int, int]] = []
-            for a, b, s in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), batch.column("s"), strict=True):
+            for place, is_member, s in zip(zip(*(batch.column(c).to_pylist() for c in ("b", "part", "node")), strict=True), batch.column("member").to_pylist(), batch.column("s"), strict=True):
+                if place == last:
+                    continue
+                last = place
                 own = np.frombuffer(s.as_buffer(), np.uint64)
-                if a is None:
+                if not is_member:
                     centre = own.copy()
                     continue
                 at = np.searchsorted(centre, own)
                 both = int((centre[np.minimum(at, len(centre) - 1)] == own).sum())
                 if 100 * both >= percent * (len(own) + len(centre) - both):
-                    links.append((a, b))
+                    links.append((place[2], place[0]))
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links], pa.int64()), pa.array([x[1] for x in links], pa.int64())], ["u", "v"])
 
-    return together.mapInArrow(compare, "u long, v long")
+    links = tables.write(together.mapInArrow(compare, "u long, v long"))
+    tables.drop(places, wanted)
+    return links
 
 
 def members(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, row (its `row_hash`), n_shingles, component (a number; null without words) and component_id of every row."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"), row_hash(id_col, text_col).alias("row"))
-    signed = cut(signatures(rows, width, percent))
-    slim = cut(signed.select("doc_id", "row", "n", "d1", "d2"))
+    tables = Tables(docs.sparkSession, "jaccard")
+    signed = tables.write(signatures(rows, width, percent))
+    slim = tables.write(signed.select("doc_id", "row", "n", "d1", "d2"))
     least = slim.where("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("least"))
-    numbers = cut(least.orderBy(F.col("least").asc_nulls_last(), "d1", "d2").withColumn("node", F.monotonically_increasing_id()))
+    numbers = tables.write(least.orderBy(F.col("least").asc_nulls_last(), "d1", "d2").withColumn("node", F.monotonically_increasing_id()))
     sets = signed.where("n > 0").groupBy("d1", "d2").agg(F.min(F.struct("row", "n", "prefix", "bits")).alias("x")).join(numbers, ["d1", "d2"])
-    sets = settle(sets.select("d1", "d2", "node", "x.row", "x.n", "x.prefix", "x.bits"))
-    del signed
-    tokens = _tokens(sets)
+    sets = tables.write(sets.select("d1", "node", "x.row", "x.n", "x.prefix", "x.bits"))
+    tables.drop(signed)
+    several = tables.write(_tiles(sets))
     # Tiles with the same members give the same pairs: one of them stays, as those of a shared passage mostly are.
     of = [F.count(F.lit(1)).alias("k"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("y")]
-    tiles = settle(tokens.groupBy("token").agg(*of).where("k > 1").groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token"))
-    shared = settle(tokens.join(tiles, "token"))
+    tiles = several.groupBy("token").agg(*of).groupBy("k", "x", "y").agg(F.min("token").alias("token")).select("token")
+    shared = tables.write(several.join(tiles, "token").join(sets.select("node", "n"), "node"))
+    tables.drop(several)
     # A star for each size band of a tile: bands are powers of 100 / percent, so members may link with their own centre or the one below.
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / percent)) + 1e-9).cast("int")
     banded = shared.withColumn("band", band)
     centres = banded.groupBy("token", "band").agg(F.min(F.struct("node", "n")).alias("c"))
     near = centres.select("token", "band", "c").unionByName(centres.select("token", (F.col("band") + 1).alias("band"), "c"))
     pairs = banded.join(near, ["token", "band"]).where("node <> c.node").where(_sizes_fit("n", "c.n", percent)).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
-    tried = settle(_by_bits(pairs, sets, percent))
-    links = settle(_exact(tried, rows, sets, width, percent))
+    tried = tables.write(_by_bits(pairs, sets, percent))
+    links = _exact(tried, rows, sets, width, percent, tables)
     found = components(links)
     # What the stars left apart: pairs across the parts of a tile, the likeliest first, then all that are still apart.
     for most in LIKELIEST:
         labelled = shared.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
         # Two members have been compared: one of them is a centre of the other.
         open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("x"), F.max("root").alias("y")).where("k > 2 AND x <> y").select("token")
-        across = cut(_across(labelled.join(open_, "token").join(sets.select("node", "n", "bits"), "node"), percent, most))
+        across = tables.write(_across(labelled.join(open_, "token").join(sets.select("node", "n", "bits"), "node"), percent, most))
         known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = settle(across.select("a", "b").join(known, ["a", "b"], "left_anti"))
+        more = tables.write(across.select("a", "b").join(known, ["a", "b"], "left_anti"))
         if more.head(1):
             tried = tried.unionByName(more)
-            links = links.unionByName(settle(_exact(more, rows, sets, width, percent)))
-            found = components(links)
-        if not across.where("left").head(1):
+            new = _exact(more, rows, sets, width, percent, tables)
+            if new.head(1):
+                links = links.unionByName(new)
+                found = components(links)
+        done = not across.where("left").head(1)
+        tables.drop(across)
+        if done:
             break
+    tables.drop(sets, shared)
     # The root is the least number of a component, so its least id is that of the component.
     roots = numbers.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component"))
     roots = roots.join(numbers.select(F.col("node").alias("component"), F.col("least").alias("component_id")), "component")

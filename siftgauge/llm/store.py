@@ -1,22 +1,27 @@
-"""Lineage cuts and files in the folder that all executors share."""
+"""Intermediate tables and files in the folder that all executors share."""
 
 from __future__ import annotations
 
 import atexit
-import gc
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder named in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """URI of the shared folder named in spark.checkpoint.dir; a temporary one only where that is unset and Spark runs on one machine."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         named = spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         made = tempfile.mkdtemp(prefix="siftgauge-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         named = f"file://{made}"
@@ -24,31 +29,48 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows of `df`, written once to the shared folder; what is lost is read again from there."""
-    context = df.sparkSession.sparkContext
-    named = shared_dir(df.sparkSession)
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(named)
-    return df.checkpoint()
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A fresh folder name under the shared folder."""
+    return f"{shared_dir(spark)}/siftgauge/{kind}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def _tidy(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the statements inside go when each statement has ended."""
+    was = spark.conf.get(_TIDY, "false")
+    spark.conf.set(_TIDY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_TIDY, was)
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """`cut`, before and after which Spark drops the shuffle files that only lineage already cut needed.
+class Tables:
+    """Tables of one run, each written once as Parquet; what is lost with an executor is read again from there.
 
-    Its cleaner removes them when the driver's JVM has collected what referred to them, as it does by itself only
-    every half hour.
+    `drop` deletes tables whose readers have all been written themselves; what the result still reads stays in the
+    shared folder, which the cluster clears.
     """
-    for last in (False, True):
-        gc.collect()
-        df.sparkSession.sparkContext._jvm.System.gc()
-        if not last:
-            out = cut(df)
-            del df
-            df = out
-    return out
 
+    def __init__(self, spark: SparkSession, kind: str) -> None:
+        self.spark, self.folder, self.made = spark, new_folder(spark, kind), 0
 
-def new_folder(spark: SparkSession, kind: str) -> str:
-    """A fresh folder name under the shared folder."""
-    return f"{shared_dir(spark)}/siftgauge/{kind}-{uuid.uuid4().hex}"
+    def write(self, df: DataFrame) -> DataFrame:
+        self.made += 1
+        path = f"{self.folder}/{self.made:04d}"
+        with _tidy(self.spark):
+            df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._siftgauge_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        for table in tables:
+            path = jvm.org.apache.hadoop.fs.Path(table._siftgauge_path)
+            path.getFileSystem(conf).delete(path, True)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The rows of `df`, written once to the shared folder and read from there."""
+    return Tables(df.sparkSession, "cut").write(df)
