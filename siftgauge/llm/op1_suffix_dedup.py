@@ -27,15 +27,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import suffixes
 from . import text as tx
-from .store import Tables, cut
+from .store import Tables
 
 WIDTH, GRAM = 200, 32
 #: Bytes of contexts in one suffix array, and of one anchor in one shard.
 SHARD_BYTES = 1 << 20
 _RUN = np.dtype([("a", "<i4"), ("b", "<i4")])
+_MEASURES = [StructField(c, LongType()) for c in ("n_bytes", "n_removed", "n_spans")] + [StructField("kept_sha256", StringType()), StructField("kept", StringType())]
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -93,11 +95,16 @@ def _contexts(rows: DataFrame, width: int, gram: int) -> DataFrame:
 
 
 def repeated_runs(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """(r, runs): for rows (r, t) the runs of bytes to remove, as pairs of 32-bit integers; a row may have several."""
-    every = _contexts(rows, width, gram)
-    twice = settle(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"))
-    found = settle(every.join(twice, "h"))
-    kinds = cut(found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("k"), F.min(F.struct("r", "at")).alias("x")).select("h", "c", "k", F.col("x.r").alias("r"), F.col("x.at").alias("at")))
+    """(r, first, runs): for rows (r, t) the runs of bytes to remove, as pairs of 32-bit integers; a row may have several."""
+    tables = Tables(rows.sparkSession, "suffixes")
+    every = tables.write(_contexts(rows, width, gram))
+    twice = tables.write(every.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("h"))
+    all_found = tables.write(every.join(twice, "h"))
+    tables.drop(every, twice)
+    # A row that stands several times counts so often, but its contexts are found once.
+    found = tables.write(all_found.groupBy("h", "c", "r", "at").agg(F.count(F.lit(1)).alias("n")))
+    tables.drop(all_found)
+    kinds = tables.write(found.groupBy("h", "c").agg(F.sum("n").alias("k"), F.min(F.struct("r", "at")).alias("x")).select("h", "c", "k", F.col("x.r").alias("r"), F.col("x.at").alias("at")))
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -155,10 +162,13 @@ def repeated_runs(rows: DataFrame, width: int = WIDTH, gram: int = GRAM, shard_b
         if held:
             yield shard()
 
-    judged = cut(dealt.mapInArrow(judge, "h long, c long, runs binary, windows binary"))
+    judged = tables.write(dealt.mapInArrow(judge, "h long, c long, runs binary, windows binary"))
+    tables.drop(kinds)
     merged = _merge(judged.where(F.octet_length("windows") > 0).select("h", "c", "windows"))
     verdicts = judged.select("h", "c", "runs").unionByName(merged).where(F.octet_length("runs") > 0)
-    return found.join(verdicts, ["h", "c"]).select("r", F.shiftright("at", 16).cast("int").alias("first"), "runs")
+    runs = tables.write(found.join(verdicts, ["h", "c"]).select("r", F.shiftright("at", 16).alias("first"), "runs"))
+    tables.drop(found, judged)
+    return runs
 
 
 def _merge(hot: DataFrame) -> DataFrame:
@@ -191,12 +201,12 @@ def _merge(hot: DataFrame) -> DataFrame:
     return every.join(hits, ["h", "c"]).mapInArrow(look, "h long, c long, runs binary")
 
 
-def removed(rows: DataFrame, runs: DataFrame, width: int, keep: list[str], with_text: bool) -> DataFrame:
-    """`keep` columns, n_bytes, n_removed, n_spans, kept_sha256 (and `kept`) of every row of (keep, r, t)."""
+def _removed(rows: DataFrame, runs: DataFrame, width: int, with_text: bool) -> DataFrame:
+    """The columns k0, k1, ... of rows (k0, ..., r, t), then n_bytes, n_removed, n_spans, kept_sha256 (and kept)."""
+    names = [c for c in rows.columns if c not in ("r", "t")]
     by_row = runs.groupBy("r").agg(F.collect_list(F.struct("first", "runs")).alias("of"))
-    joined = rows.join(by_row, "r", "left").withColumn("t", F.coalesce(F.col("t"), F.lit("")).cast("binary")).drop("r")
-    fields = [(f.name, f.dataType.simpleString()) for f in joined.schema.fields if f.name in keep]
-    schema = ", ".join(f"`{n}` {t}" for n, t in fields) + ", n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept string" if with_text else "")
+    joined = rows.join(by_row, "r", "left").withColumn("t", F.coalesce(F.col("t"), F.lit("")).cast("binary")).select(*names, "t", "of")
+    schema = StructType([*joined.select(*names).schema.fields, *_MEASURES[: 5 if with_text else 4]])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,17 +229,30 @@ def removed(rows: DataFrame, runs: DataFrame, width: int, keep: list[str], with_
             arrays = [pa.array(v, t) for v, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=False)]
             if with_text:
                 arrays.append(pa.array([x.decode("utf-8", "ignore") for x in out[4]], pa.string()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(n) for n, _ in fields), *arrays], [*(n for n, _ in fields), "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["kept"] if with_text else [])])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *arrays], schema.names)
 
     return joined.mapInArrow(remove, schema)
 
 
+def _rows(docs: DataFrame, columns: list[str], id_col: str, text_col: str) -> DataFrame:
+    """`columns` as k0, k1, ..., the text t, and r, by which rows are known."""
+    text = F.col(f"`{text_col}`").cast("string")
+    return docs.select(*(F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(columns)), text.alias("t"), F.xxhash64(F.col(f"`{id_col}`"), text).alias("r"))
+
+
 def deduplicate(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the kept text) of every row."""
-    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("t"))
-    rows = rows.withColumn("r", F.xxhash64("doc_id", "t"))
+    rows = _rows(docs, [id_col], id_col, text_col)
     runs = repeated_runs(rows.select("r", "t"), width, gram, shard_bytes)
-    return removed(rows, runs, width, ["doc_id"], with_text)
+    return _removed(rows, runs, width, with_text).withColumnRenamed("k0", "doc_id")
+
+
+def without_repeats(docs: DataFrame, *, width: int = WIDTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with their own columns; the text is what stays.  A null text stays null; of a character cut apart no byte stays."""
+    others = [c for c in docs.columns if c != text_col]
+    rows = _rows(docs, others, id_col, text_col).withColumn("some", F.col("t").isNotNull())
+    out = _removed(rows, repeated_runs(rows.select("r", "t"), width, gram, shard_bytes), width, True)
+    return out.select(*(F.when(F.col("some"), F.col("kept")).alias(c) if c == text_col else F.col(f"k{others.index(c)}").alias(c) for c in docs.columns))
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
