@@ -31,11 +31,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document without the passages that also stand elsewhere; n_chars follows the text."""
-    rows = docs.select(*docs.columns, F.col("text").alias("t"), F.xxhash64("doc_id", "text").alias("r"))
-    runs = op1_suffix_dedup.repeated_runs(rows.select("r", "t"))
-    cut_out = op1_suffix_dedup.removed(rows, runs, op1_suffix_dedup.WIDTH, docs.columns, True)
-    changed = {"text": F.when(F.col("text").isNotNull(), F.col("kept")), "n_chars": F.length("kept").cast("long")}
-    return cut_out.select(*(changed[c].alias(c) if c in changed else F.col(f"`{c}`") for c in docs.columns))
+    cut_out = op1_suffix_dedup.without_repeats(docs)
+    return cut_out.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.coalesce(F.length("text"), F.lit(0))).cast(docs.schema["n_chars"].dataType))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
