@@ -1,41 +1,49 @@
-"""Main text of web pages by enclosing tags, and by token classes where a page has no article element.
+"""Main text of web pages by deduction of each host's template.
 
-1. A page becomes tokens: tags (name, class and id), end tags and whole text nodes.
+1. A page becomes tokens: tags (name, class, id and role), end tags and whole text nodes.  A token's role is told apart by
+   its place: the tags around it are part of what it is known by.
 2. Per host, a token's occurrence vector says how often each page has it.  Vectors are compared by two sums over the
-   pages of page hash * count, which aggregate partially, so that no host is ever in one task.  Tokens with equal
-   vectors that at least half of the host's pages have form an equivalence class; a class is large if it has two tokens.
-3. A class is valid in a page if its tokens occur as often as its vector says.  Order and nesting of classes are not
-   checked, roles of a token are not told apart by position, and no slots are derived: this part of template deduction
-   is not built.
-4. Text nodes inside menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-   dropped by their enclosing tags (a list of tags and of words in class, id and role).  Where a page has an article
-   or main, what is left inside is the text, and the classes are not consulted; elsewhere text nodes of a valid class go.
+   pages of page number * count, which aggregate partially, so that no host is ever in one task.  Tokens with equal
+   vectors that at least half of the host's pages have, at least two pages and two tokens, form an equivalence class.
+3. A class is valid if on every page its tokens come in one order, once in each repetition.  Two valid classes nest if on
+   every page the one stands in the same gap between two tokens of the other; of two that do neither, the smaller goes.
+   What is left, each class below the gap of the innermost class around it, is the host's template.
+4. The gaps of the template are slots, and what no class has stands in them.  A page's text is what its slots hold
+   there, less the slots that their tags show to be menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+   styles or reader comments (a list of tags and of words in class, id and role), and less slots that a repeated class
+   puts into links.  Where slots lie inside an article or main element these alone are the text, whole: a passage
+   that pages of a host share there is no template text.  A host with one page has one slot, the page.
 
 Blocks end at block-level tags; references are decoded; white space in a block becomes one space; empty blocks go.
-Defined results: null or empty html gives an empty text; unclosed elements end with their parent; a page without url
-belongs to the host ""; repeated rows are extracted each; an empty table gives an empty result; further columns do not
-matter.
+Defined results: null or empty html gives an empty text; unclosed elements end with their parent; a tag that never ends
+is text; a quote without its pair is no quote; a page without url belongs to the host ""; repeated rows are extracted
+each, and count as pages of their own; an empty table gives an empty result; further columns do not matter.  Work
+grows in proportion to the length of a page.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from bisect import bisect
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import cut
+from .store import Tables
 
-#: Template rows up to which they are broadcast (some 60 bytes each); beyond it pages meet them by a join.
+#: Template tokens up to which all hosts' templates are broadcast (some 100 bytes each); beyond it pages meet them by a join.
 MOST_BROADCAST = 200_000
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_START = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][^\s/>]*))")
+_EDGE = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
+_RAW_END = {name: re.compile(rf"</{name}(?![a-zA-Z0-9-])", re.I) for name in _RAW}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = set("address article aside blockquote body caption dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split())
 _DROPPED = {"nav", "header", "footer", "aside", "form", "menu", "button", "select", "dialog", "head", "svg", "canvas", "object", "audio", "video", "math"} | _RAW
@@ -46,33 +54,42 @@ _IMPLIED = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "t
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, what): ("open", tag, class/id/role), ("close", tag, ""), ("text", "", raw text)."""
-    at = 0
-    while at < len(page):
-        m = _TOKEN.search(page, at)
-        if not m:
-            yield "text", "", page[at:]
-            return
+    at, quoted = 0, True
+    while m := _START.search(page, at):
+        comment, slash, name = m.groups()
+        if comment:
+            end = page.find("-->", m.end())
+            end = len(page) if end < 0 else end + 3
+        else:
+            end = m.end()
+            while quoted and name:
+                edge = _EDGE.search(page, end)
+                if edge and edge[0] == ">":
+                    end = edge.start()
+                    break
+                end = page.find(edge[0], edge.end()) + 1 if edge else 0
+                if not end:  # Quotes without end: from here on none counts.
+                    quoted, end = False, m.end()
+            end = page.find(">", end) + 1
+            if not end:
+                break
         if m.start() > at:
             yield "text", "", page[at : m.start()]
-        at = m.end()
-        if m[2]:
-            name = m[2].lower()
-            if m[1]:
-                yield "close", name, ""
-                continue
-            yield "open", name, " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(m[3])) if m[3] else ""
-            if name in _RAW and not m[3].endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = end.end() if end else len(page)
-                yield "close", name, ""
-
-
-def _key(kind: str, name: str, what: str) -> int | None:
-    if kind == "text":
-        if not what.strip():
-            return None
-        name = " ".join(what.split())
-    return xxhash.xxh3_64_intdigest(f"{kind}\0{name}\0{what if kind == 'open' else ''}") - (1 << 63)
+        at = end
+        if not name:
+            continue
+        name = name.lower()
+        if slash:
+            yield "close", name, ""
+            continue
+        rest = page[m.end() : end - 1]
+        yield "open", name, " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(rest)) if rest else ""
+        if name in _RAW and not rest.endswith("/"):
+            close = _RAW_END[name].search(page, at)
+            at = (page.find(">", close.end()) + 1 if close else 0) or len(page)
+            yield "close", name, ""
+    if at < len(page):
+        yield "text", "", page[at:]
 
 
 def _drops(name: str, what: str, in_article: bool) -> bool:
@@ -81,15 +98,104 @@ def _drops(name: str, what: str, in_article: bool) -> bool:
     return name in _DROPPED or bool(what and name not in ("html", "body", "article", "main") and _ROLE.search(what))
 
 
-def extract(page: str, template: dict[int, tuple[int, float]]) -> str:
-    """The text of a page; `template`: token -> (class, occurrences on a page)."""
-    parsed = list(tokens(page))
-    keys = [_key(*t) for t in parsed] if template else [None] * len(parsed)
-    count = Counter(k for k in keys if k in template)
-    wrong = {template[k][0] for k in template if count.get(k, 0) != template[k][1]}
-    fixed = {k for k in count if template[k][0] not in wrong}
-    has_main = any(t[0] == "open" and t[1] in ("article", "main") for t in parsed)
-    stack: list[tuple[str, bool, bool]] = []  # tag, dropped, inside the article
+@dataclass(slots=True)
+class Event:
+    """A token in its place: `path` names the elements around it, the flags say what they are."""
+
+    kind: str
+    name: str
+    what: str
+    path: int
+    dropped: bool
+    inside: bool
+    linked: bool
+
+    def key(self) -> int | None:
+        what = " ".join(self.what.split()) if self.kind == "text" else self.what
+        if self.kind == "text" and not what:
+            return None
+        return xxhash.xxh3_64_intdigest(f"{self.path} {self.kind} {self.name}\0{what}") - (1 << 63)
+
+
+def events(page: str) -> list[Event]:
+    """All tokens of a page but end tags that end nothing."""
+    stack: list[tuple[str, int, bool, bool, bool]] = []  # tag, path, dropped, inside the article, inside a link
+    open_, out = Counter(), []
+    top = ("", 0, False, False, False)
+    for kind, name, what in tokens(page):
+        if kind == "close":
+            if not open_[name]:
+                if name in _BLOCK:
+                    out.append(Event("gap", name, "", 0, *top[2:]))
+                continue
+            while True:
+                ended = stack.pop()
+                open_[ended[0]] -= 1
+                if ended[0] == name:
+                    break
+            top = stack[-1] if stack else ("", 0, False, False, False)
+        elif kind == "open" and name in _IMPLIED and stack and top[0] in _IMPLIED[name]:
+            open_[stack.pop()[0]] -= 1
+            top = stack[-1] if stack else ("", 0, False, False, False)
+        out.append(Event(kind, name, what, *top[1:]))
+        if kind == "open" and name not in _VOID:
+            path = xxhash.xxh3_64_intdigest(f"{top[1]} {name}\0{what}")
+            top = (name, path, top[2] or _drops(name, what, top[3]), top[3] or name in ("article", "main"), top[4] or name == "a")
+            stack.append(top)
+            open_[name] += 1
+    return out
+
+
+def repetitions(found: list[int]) -> list[int] | None:
+    """The order in which a class's tokens come, if all its repetitions on the page are in it."""
+    order = list(dict.fromkeys(found))
+    return order if len(found) % len(order) == 0 and found == order * (len(found) // len(order)) else None
+
+
+def gap_of(inner: list[int], size: int, outer: list[int], outer_size: int) -> int:
+    """The gap of `outer` (places of a class of `outer_size` tokens) that has all of `inner`; 0: outside of it, -1: none."""
+    gaps = set()
+    for k in range(0, len(inner), size):
+        a, b = bisect(outer, inner[k]), bisect(outer, inner[k + size - 1])
+        if a != b:
+            return -1
+        gaps.add(a % outer_size)
+    return gaps.pop() if len(gaps) == 1 else -1
+
+
+def nest(classes: dict[int, list[int]], gaps: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int, int]]:
+    """(token, class, place in it, its size, parent class, gap) of the largest set of classes that nest.
+
+    `gaps`[inner, outer] is the gap that all pages agree on, or -1; classes that share no page are not in it.
+    """
+    valid: list[int] = []
+    fits = lambda a, b: (a, b) not in gaps or gaps[a, b] >= 0 or gaps[b, a] >= 0
+    for c in sorted(classes, key=lambda c: (-len(classes[c]), c)):
+        if all(fits(c, v) for v in valid):
+            valid.append(c)
+    around = {c: [v for v in valid if v != c and gaps.get((c, v), 0) > 0] for c in valid}
+    out = []
+    for c in valid:
+        parent = max(around[c], key=lambda v: (len(around[v]), -v), default=0)
+        out += [(t, c, k, len(classes[c]), parent, gaps.get((c, parent), 0)) for k, t in enumerate(classes[c])]
+    return out
+
+
+def extract(page: str, template: dict[int, tuple[int, int, int, int, int]]) -> str:
+    """The text of a page; `template`: token -> (class, place in it, size of the class, parent class, gap of the parent)."""
+    parsed = events(page)
+    has_main = any(e.inside for e in parsed) or any(e.kind == "open" and e.name in ("article", "main") for e in parsed)
+    keys = [e.key() for e in parsed] if template else [None] * len(parsed)
+    fixed = [template.get(k) for k in keys]
+    found: dict[int, list[int]] = {}
+    for k, t in zip(keys, fixed, strict=True):
+        if t:
+            found.setdefault(t[0], []).append(t[1])
+    # On this page a class counts if its tokens come as the template has them; it repeats if they do so more than once.
+    size = {t[0]: t[2] for t in fixed if t}
+    right = {c for c, places in found.items() if places == list(range(size[c])) * (len(places) // size[c])}
+    repeats = {c for c in right if len(found[c]) > size[c]}
+    slots: list[int] = []  # classes around the place, each in one of its gaps
     blocks, block = [], []
 
     def close_block() -> None:
@@ -98,39 +204,55 @@ def extract(page: str, template: dict[int, tuple[int, float]]) -> str:
             blocks.append(" ".join(words))
         block.clear()
 
-    for (kind, name, what), key in zip(parsed, keys, strict=True):
-        dropped, inside = stack[-1][1:] if stack else (False, False)
-        if kind == "text":
-            if not dropped and (inside or not has_main) and not (key in fixed and not inside):
-                block.append(what)
-            continue
-        if name in _BLOCK:
+    for e, t in zip(parsed, fixed, strict=True):
+        of_template = t is not None and t[0] in right
+        if of_template:
+            if t[1] == 0 and t[2] > 1:
+                slots.append(t[0])
+            elif t[1] == t[2] - 1 and t[0] in slots:
+                del slots[slots.index(t[0]) :]
+        if e.kind == "text":
+            if e.dropped:
+                continue
+            menu = e.linked and any(c in repeats for c in slots)
+            if e.inside if has_main else not of_template and not menu:
+                block.append(e.what)
+        elif e.name in _BLOCK:
             close_block()
-        elif name == "br":
+        elif e.name == "br":
             block.append(" ")
-        if kind == "open" and name not in _VOID:
-            if name in _IMPLIED and stack and stack[-1][0] in _IMPLIED[name]:
-                stack.pop()
-                dropped, inside = stack[-1][1:] if stack else (False, False)
-            stack.append((name, dropped or _drops(name, what, inside), inside or name in ("article", "main")))
-        elif kind == "close":
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    break
     close_block()
     return "\n".join(blocks)
 
 
-def templates(pages: DataFrame) -> DataFrame:
-    """(host, tokens): per host the tokens of its large classes as structs of token, class and occurrences on a page."""
+def _with_template(pages: DataFrame, found: DataFrame, column: str) -> DataFrame:
+    small = found.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0] <= MOST_BROADCAST
+    return pages.join(F.broadcast(found) if small else found, "h", "left")
+
+
+class _Held:
+    """What is known of the hosts of this task, made once from each host's column."""
+
+    def __init__(self, make) -> None:
+        self.make, self.by_host = make, {}
+
+    def of(self, host: int, value: pa.Scalar):
+        if host not in self.by_host:
+            if len(self.by_host) > 1000:
+                self.by_host.clear()
+            self.by_host[host] = self.make(value.as_py() or [])
+        return self.by_host[host]
+
+
+def classes_of(pages: DataFrame, tables: Tables) -> DataFrame:
+    """(h, tokens): per host the tokens of its equivalence classes as structs of token and class."""
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
             for host, mark, page in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 x, y = mark & 0xFFFFFF, (mark >> 24) & 0xFFFFFF
-                for key, n in Counter(k for t in tokens(page or "") if (k := _key(*t)) is not None).items():
+                for key, n in Counter(k for e in events(page or "") if e.kind != "gap" and (k := e.key()) is not None).items():
                     for column, value in zip(out, (host, key, x * n, y * n, n), strict=True):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["h", "token", "x", "y", "n"])
@@ -138,29 +260,75 @@ def templates(pages: DataFrame) -> DataFrame:
     seen = pages.select("h", "mark", "html").mapInArrow(vectors, "h long, token long, x long, y long, n long")
     totals = seen.groupBy("h", "token").agg(F.sum("x").alias("x"), F.sum("y").alias("y"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("pages")).where("pages > 1")
     sizes = pages.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    common = totals.join(sizes, "h").where("2 * pages >= size").withColumn("class", F.xxhash64("x", "y", "n", "pages"))
-    classes = common.groupBy("h", "class").agg(F.collect_list(F.struct("token", "class", (F.col("n") / F.col("pages")).alias("each"))).alias("tokens")).where(F.size("tokens") > 1)
-    return cut(classes.groupBy("h").agg(F.flatten(F.collect_list("tokens")).alias("template")))
+    common = totals.join(sizes, "h").where("2 * pages >= size").select("h", "token", F.xxhash64("x", "y", "n", "pages").alias("class"))
+    large = common.groupBy("h", "class").agg(F.collect_list("token").alias("of")).where(F.size("of") > 1)
+    return tables.write(large.groupBy("h").agg(F.flatten(F.collect_list(F.expr("transform(of, t -> struct(t AS token, class))"))).alias("tokens")))
+
+
+def templates(pages: DataFrame, tables: Tables) -> DataFrame:
+    """(h, template): per host its nested classes, as structs of what `extract` needs."""
+    found = classes_of(pages, tables)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Orders and gaps that the pages of a batch agree on; a class's own row has its order."""
+        held = _Held(lambda tokens: {t["token"]: t["class"] for t in tokens})
+        for batch in batches:
+            orders: dict[tuple, tuple] = {}
+            gaps: dict[tuple, list[int]] = {}
+            for host, page, of in zip(batch.column("h").to_pylist(), batch.column("html").to_pylist(), batch.column("tokens"), strict=True):
+                known = held.of(host, of)
+                places: dict[int, list[int]] = {}
+                seen: dict[int, list[int]] = {}
+                for k, e in enumerate(events(page or "")):
+                    key = e.key() if e.kind != "gap" else None
+                    if key in known:
+                        places.setdefault(known[key], []).append(k)
+                        seen.setdefault(known[key], []).append(key)
+                sound = {}
+                for c, keys in seen.items():
+                    order = repetitions(keys)
+                    orders[host, c, tuple(order or ())] = (host, c)
+                    if order:
+                        sound[c] = len(order)
+                for a, size in sound.items():
+                    for b, outer in sound.items():
+                        if a != b:
+                            g = gap_of(places[a], size, places[b], outer)
+                            both = gaps.setdefault((host, a, b), [g, g])
+                            both[0], both[1] = min(both[0], g), max(both[1], g)
+            rows = [(h, c, c, 0, 0, list(order)) for h, c, order in orders] + [(h, a, b, *g, []) for (h, a, b), g in gaps.items()]
+            columns = list(zip(*rows, strict=True)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["h", "a", "b", "low", "high", "tokens"])
+
+    checked = _with_template(pages.select("h", "html"), found, "tokens").where("tokens IS NOT NULL").mapInArrow(check, "h long, a long, b long, low int, high int, tokens array<bigint>")
+    agreed = checked.groupBy("h", "a", "b").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.min("tokens").alias("first"), F.max("tokens").alias("last"))
+    agreed = agreed.select("h", F.struct("a", "b", F.when(F.col("low") == F.col("high"), F.col("low")).otherwise(-1).alias("gap"), F.when((F.col("a") == F.col("b")) & (F.col("first") == F.col("last")), F.col("first")).alias("order")).alias("x"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for relations in batch.column("of").to_pylist():
+                classes = {x["a"]: x["order"] for x in relations if x["a"] == x["b"] and x["order"]}
+                rows.append([dict(zip(("token", "class", "place", "size", "parent", "gap"), t, strict=True)) for t in nest(classes, {(x["a"], x["b"]): x["gap"] for x in relations if x["a"] in classes and x["b"] in classes and x["a"] != x["b"]})])
+            yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(rows, pa.list_(pa.struct([(c, pa.int64()) for c in ("token", "class", "place", "size", "parent", "gap")])))], ["h", "template"])
+
+    by_host = agreed.groupBy("h").agg(F.collect_list("x").alias("of"))
+    out = tables.write(by_host.mapInArrow(build, "h long, template array<struct<token: bigint, class: bigint, place: bigint, size: bigint, parent: bigint, gap: bigint>>"))
+    tables.drop(found)
+    return out
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of (page_id, url, html)."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), F.xxhash64(host).alias("h"), F.xxhash64("page_id", "url").alias("mark"))
-    found = templates(rows)
-    small = found.agg(F.coalesce(F.sum(F.size("template")), F.lit(0))).first()[0] <= MOST_BROADCAST
-    joined = rows.drop("mark").join(F.broadcast(found) if small else found, "h", "left").select("page_id", "url", "html", "h", "template")
+    found = templates(rows, Tables(pages.sparkSession, "templates"))
+    joined = _with_template(rows.drop("mark"), found, "template").select("page_id", "url", "html", "h", "template")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, dict] = {}
+        held = _Held(lambda template: {t["token"]: (t["class"], t["place"], t["size"], t["parent"], t["gap"]) for t in template})
         for batch in batches:
-            texts = []
-            for page, h, template in zip(batch.column("html").to_pylist(), batch.column("h").to_pylist(), batch.column("template"), strict=True):
-                if h not in held:
-                    if len(held) > 1000:
-                        held.clear()
-                    held[h] = {t["token"]: (t["class"], t["each"]) for t in template.as_py() or []}
-                texts.append(extract(page or "", held[h]))
+            texts = [extract(page or "", held.of(h, template)) for page, h, template in zip(batch.column("html").to_pylist(), batch.column("h").to_pylist(), batch.column("template"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
