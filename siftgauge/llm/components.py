@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .store import Tables
 
+FILE_ROWS = 1_000_000
+
 
 def _step(edges: DataFrame, large: bool) -> DataFrame:
     """Edges (u, v) with u > v; each node's neighbours are hung below its least neighbour."""
@@ -24,13 +26,15 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node in `edges` (u, v) other than the roots; the root is the least node of the component.
 
     Steps go on until nothing changes, which takes a number of them that grows with the logarithm of the longest path.
+    Each step's edges, never more than the nodes and edges before, are written to files of about FILE_ROWS.
     """
     tables = Tables(edges.sparkSession, "components")
-    edges = tables.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    files = lambda n: max(1, -(-n // FILE_ROWS))
     mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    edges = tables.write(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct().coalesce(files(edges.count())))
     was = None
     while (now := mark(edges)) != was:
         was, last = now, edges
-        edges = tables.write(_step(_step(edges, True), False))
+        edges = tables.write(_step(_step(edges, True), False).coalesce(files(2 * now[0])))
         tables.drop(last)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

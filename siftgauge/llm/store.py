@@ -11,6 +11,8 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes that a task holds of a table it writes.
+BLOCK_BYTES = 16 << 20
 _TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -59,7 +61,7 @@ class Tables:
         self.made += 1
         path = f"{self.folder}/{self.made:04d}"
         with _tidy(self.spark):
-            df.write.parquet(path)
+            df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._siftgauge_path = path
         return out
