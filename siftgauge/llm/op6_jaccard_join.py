@@ -221,8 +221,8 @@ class _Tile:
         return np.concatenate(out)
 
 
-def _tile_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[pa.RecordBatch]:
-    """(a, b, left): for each row outside the largest part its `most` likeliest partners of other parts; left: it has more."""
+def _tile_pairs(token: int, rows: list[tuple], percent: int, most: int | None) -> Iterator[pa.RecordBatch]:
+    """(token, a, b, left): for each row outside the largest part its `most` likeliest partners of other parts; left: it has more."""
     tile = _Tile(rows)
     node, root, n = tile.node, tile.root, tile.n
     _, which = np.unique(root, return_inverse=True)
@@ -240,11 +240,11 @@ def _tile_pairs(rows: list[tuple], percent: int, most: int | None) -> Iterator[p
         if left:
             j = j[np.argsort(differ[j], kind="stable")[:most]]
         j += lo
-        yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[j], node[i])), pa.array(np.minimum(node[j], node[i])), pa.array(np.full(len(j), left))], ["a", "b", "left"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), token)), pa.array(np.maximum(node[j], node[i])), pa.array(np.minimum(node[j], node[i])), pa.array(np.full(len(j), left))], ["token", "a", "b", "left"])
 
 
 def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
-    """Pairs (a, b) of different parts (`root`) of a tile that sizes and bit counts allow, and whether some are `left`."""
+    """Pairs (token, a, b) of different parts (`root`) of a tile that sizes and bit counts allow, and whether some are `left`."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -253,14 +253,14 @@ def _across(members: DataFrame, percent: int, most: int | None) -> DataFrame:
             for t, *row in zip(*(batch.column(c).to_pylist() for c in ("token", "node", "root", "n", "bits")), strict=True):
                 if t != token:
                     if len(held) > 1:
-                        yield from _tile_pairs(held, percent, most)
+                        yield from _tile_pairs(token, held, percent, most)
                     held, token = [], t
                 held.append(tuple(row))
         if len(held) > 1:
-            yield from _tile_pairs(held, percent, most)
+            yield from _tile_pairs(token, held, percent, most)
 
     dealt = members.select("token", "node", "root", "n", "bits").repartition("token").sortWithinPartitions("token")
-    return dealt.mapInArrow(look, "a long, b long, left boolean").groupBy("a", "b").agg(F.max("left").alias("left"))
+    return dealt.mapInArrow(look, "token long, a long, b long, left boolean")
 
 
 def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, percent: int, tables: Tables) -> DataFrame:
@@ -333,26 +333,27 @@ def members(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_c
     near = centres.select("token", "band", "c").unionByName(centres.select("token", (F.col("band") + 1).alias("band"), "c"))
     pairs = banded.join(near, ["token", "band"]).where("node <> c.node").where(_sizes_fit("n", "c.n", percent)).select(F.col("node").alias("a"), F.col("c.node").alias("b")).distinct()
     tried = tables.write(_by_bits(pairs, sets, percent))
-    links = _exact(tried, rows, sets, width, percent, tables)
-    found = components(links)
+    found = components(_exact(tried, rows, sets, width, percent, tables))
     # What the stars left apart: pairs across the parts of a tile, the likeliest first, then all that are still apart.
+    tiles = shared.select("token", "node")
     for most in LIKELIEST:
-        labelled = shared.select("token", "node").join(found, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
+        labelled = tiles.join(found, "node", "left").select("token", "node", F.coalesce("root", "node").alias("root"))
         # Two members have been compared: one of them is a centre of the other.
         open_ = labelled.groupBy("token").agg(F.count(F.lit(1)).alias("k"), F.min("root").alias("x"), F.max("root").alias("y")).where("k > 2 AND x <> y").select("token")
         across = tables.write(_across(labelled.join(open_, "token").join(sets.select("node", "n", "bits"), "node"), percent, most))
         known = tried.unionByName(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        more = tables.write(across.select("a", "b").join(known, ["a", "b"], "left_anti"))
+        more = tables.write(across.select("a", "b").distinct().join(known, ["a", "b"], "left_anti"))
         if more.head(1):
             tried = tried.unionByName(more)
             new = _exact(more, rows, sets, width, percent, tables)
             if new.head(1):
-                links = links.unionByName(new)
-                found = components(links)
-        done = not across.where("left").head(1)
+                found = components(found.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(new))
+        # Of other tiles every pair of parts has been tried.
+        rest = tables.write(across.where("left").select("token").distinct())
         tables.drop(across)
-        if done:
+        if not rest.head(1):
             break
+        tiles = shared.select("token", "node").join(rest, "token")
     tables.drop(sets, shared)
     # The root is the least number of a component, so its least id is that of the component.
     roots = numbers.select("d1", "d2", "node").join(found, "node", "left").select("d1", "d2", F.coalesce("root", "node").alias("component"))
@@ -366,5 +367,22 @@ def linked(docs: DataFrame, **options) -> DataFrame:
     return members(docs, **options).select("doc_id", "n_shingles", "component_id")
 
 
+def one_of_each(docs: DataFrame, *, width: int = WIDTH, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs`, with their own columns, of which one stands for its component, and those without words.
+
+    The smallest id stays, null last; of rows with one id and text, one.
+    """
+    tables, names = Tables(docs.sparkSession, "representatives"), docs.columns
+    found = tables.write(members(docs, width=width, percent=percent, id_col=id_col, text_col=text_col))
+    firsts = found.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select("x.row")
+    copies = found.groupBy("row").agg(F.count(F.lit(1)).alias("copies"))
+    kept = tables.write(firsts.unionByName(found.where("n_shingles = 0").select("row")).distinct().join(copies, "row"))
+    tables.drop(found)
+    rows = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), row_hash(id_col, text_col).alias("row")).join(kept, "row")
+    # Only rows that stand several times meet by a shuffle.
+    one = rows.where("copies = 1").unionByName(rows.where("copies > 1").dropDuplicates(["row"]))
+    return one.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(spark.read.parquet(f"{sf_dir}/documents.parquet"))
