@@ -132,14 +132,13 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     Texts are counted once: votes are held under two hashes of the row (maps have none and stay out), by which the
     rows meet their verdicts, so that copies of a text do not meet in one task.
     """
+    names = docs.columns
     rows = F.struct(*(F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"))
-    keyed = docs.withColumns({"_quality_a": F.xxhash64(rows), "_quality_b": F.xxhash64(F.lit(1), rows)})
-    keys = ("_quality_a", "_quality_b")
-    q = F.col("_quality")
-    counted = with_features(keyed.select(F.col(f"`{text_col}`"), *keys), text_col)
-    held = cut(counted.select(*keys, votes(q).alias("_votes"), base_failed(q).alias("_failed")))
-    kept = held.where(~F.col("_failed") & (probability("_votes", fit(held, "_votes")) >= 0.5)).select(*keys)
-    return keyed.join(kept, list(keys), "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))
+    keyed = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)), F.xxhash64(rows).alias("a"), F.xxhash64(F.lit(1), rows).alias("b"))
+    counted = with_features(keyed.select(F.col(f"c{names.index(text_col)}").alias("t"), "a", "b"), "t")
+    held = cut(counted.select("a", "b", votes(F.col("_quality")).alias("votes"), base_failed(F.col("_quality")).alias("failed")))
+    kept = held.where(~F.col("failed") & (probability("votes", fit(held)) >= 0.5)).select("a", "b")
+    return keyed.join(kept, ["a", "b"], "left_semi").select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(names)))
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
