@@ -1,8 +1,11 @@
 """WARC records in ZIP packages, read by range without extraction.
 
-`write_archives` makes, per task, ZIP packages with two stored members: `archive/data.warc.gz` (each record its own
-gzip member) and `indexes/index.cdxj` (a line for each record with its offset and length).  Payloads seen before are
+`write_archives` makes, per task, ZIP packages with two stored members: `archive/data.warc.gz` (a warcinfo record, then
+the records, each its own gzip member) and `indexes/index.cdxj` (a line for each record: its URL key, its time, and as
+JSON its place, length and digest; in the order of keys).  Payloads seen before are
 revisit records; they name the first record and keep the HTTP header, with the payload's length, but not the payload.
+A record is named by its page_id and payload digest: exactly repeated rows are copies of one record and share its name.
+The list of archives is a table in the shared folder.
 `ZipArchive` parses the end record, the ZIP64 records and the central directory itself, finds where a stored member
 begins, and reads records by range through the index.
 
@@ -19,6 +22,7 @@ import io
 import json
 import re
 import struct
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -27,33 +31,55 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .op4_token_store import filesystem
-from .store import new_folder
+from .store import Tables, new_folder
 
 #: Bytes of compressed records after which a task begins another archive.
 ARCHIVE_BYTES = 64 << 20
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _URN = "urn:siftgauge:page:"
+_TIME = "1970-01-01T00:00:00Z"
 
 
 def payload_digest(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
+def surt(url: str | None) -> str:
+    """The sort key of a URL: its host from the last label on, then the path; `-` without one."""
+    m = re.match(r"[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)(?::\d+)?([^#]*)", url or "")
+    if not m:
+        return re.sub(r"\s", lambda x: f"%{ord(x[0]):02X}", url or "-")
+    return re.sub(r"\s", lambda x: f"%{ord(x[0]):02X}", ",".join(reversed(m[1].lower().split("."))) + ")" + (m[2] or "/"))
+
+
+def _name(page_id: int | None, digest: str) -> str:
+    return f"<{_URN}{'' if page_id is None else page_id}:{digest}>"
+
+
+def _packed(head: list[str], block: bytes) -> bytes:
+    data = ("WARC/1.1\r\n" + "\r\n".join([*head, f"Content-Length: {len(block)}"]) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+def warcinfo() -> bytes:
+    """The first record of an archive, as a gzip member."""
+    block = b"software: siftgauge\r\nformat: WARC File Format 1.1\r\n"
+    return _packed(["WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid4()}>", f"WARC-Date: {_TIME}", "Content-Type: application/warc-fields"], block)
+
+
 def warc_record(page_id: int | None, url: str | None, payload: bytes, first: int | None) -> bytes:
     """One gzip member: the response, or a revisit of the page `first`."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
-    block = http if first is not None else http + payload
-    head = [f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: <{_URN}{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z"]
+    digest = payload_digest(payload)
+    head = [f"WARC-Type: {'response' if first is None else 'revisit'}", f"WARC-Record-ID: {_name(page_id, digest)}", f"WARC-Date: {_TIME}"]
     if url is not None:
         head.append("WARC-Target-URI: " + re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url))
-    head.append(f"WARC-Payload-Digest: sha1:{payload_digest(payload)}")
+    head.append(f"WARC-Payload-Digest: sha1:{digest}")
     if first is not None:
-        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_URN}{first}>"]
-    head += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
-    data = ("WARC/1.1\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
-    packer = zlib.compressobj(1, zlib.DEFLATED, 31)
-    return packer.compress(data) + packer.flush()
+        head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_name(first, digest)}"]
+    return _packed([*head, "Content-Type: application/http; msgtype=response"], http if first is not None else http + payload)
 
 
 def parse_record(member: bytes) -> dict:
@@ -64,24 +90,26 @@ def parse_record(member: bytes) -> dict:
     block = rest[: int(fields["Content-Length"])]
     http, _, payload = block.partition(b"\r\n\r\n")
     length = int(re.search(rb"(?im)^Content-Length: *(\d+)", http)[1])
-    number = lambda urn: None if urn is None or urn == f"<{_URN}>" else int(urn[1:-1].removeprefix(_URN))
+    number = lambda name: int(x) if name and (x := name[1:-1].removeprefix(_URN).split(":")[0]) else None
     kind = fields["WARC-Type"]
     return {"type": kind, "id": number(fields["WARC-Record-ID"]), "digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "refers_to": number(fields.get("WARC-Refers-To")), "length": length, "payload": payload if kind == "response" else None}
 
 
-def zip_package(members: list[tuple[str, bytes]], zip64: bool = False) -> list[bytes]:
-    """The parts of a ZIP file of stored members; ZIP64 records where sizes ask for it or `zip64` is set."""
+def zip_package(members: list[tuple[str, list[bytes]]], zip64: bool = False) -> list[bytes]:
+    """The parts of a ZIP file of stored members, each given in parts; ZIP64 records where sizes ask for it or `zip64` is set."""
     parts, directory, at = [], [], 0
     for name, data in members:
-        raw, crc = name.encode(), zlib.crc32(data)
-        wide = zip64 or max(len(data), at) >= 0xFFFFFFFF
-        extra = struct.pack("<HHQQ", 1, 16, len(data), len(data)) if wide else b""
-        size = 0xFFFFFFFF if wide else len(data)
+        raw, crc, full = name.encode(), 0, sum(map(len, data))
+        for part in data:
+            crc = zlib.crc32(part, crc)
+        wide = zip64 or max(full, at) >= 0xFFFFFFFF
+        extra = struct.pack("<HHQQ", 1, 16, full, full) if wide else b""
+        size = 0xFFFFFFFF if wide else full
         local = struct.pack("<4sHHHHHIIIHH", b"PK\3\4", 45 if wide else 20, 0x800, 0, 0, 0x21, crc, size, size, len(raw), len(extra)) + raw + extra
-        far = struct.pack("<HHQQQ", 1, 24, len(data), len(data), at) if wide else b""
+        far = struct.pack("<HHQQQ", 1, 24, full, full, at) if wide else b""
         directory.append(struct.pack("<4sHHHHHHIIIHHHHHII", b"PK\1\2", 45, 45 if wide else 20, 0x800, 0, 0, 0x21, crc, size, size, len(raw), len(far), 0, 0, 0, 0, 0xFFFFFFFF if wide else at) + raw + far)
-        parts += [local, data]
-        at += len(local) + len(data)
+        parts += [local, *data]
+        at += len(local) + full
     listed = b"".join(directory)
     n = len(members)
     if zip64 or at + len(listed) >= 0xFFFFFFFF or n >= 0xFFFF:
@@ -170,7 +198,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, made, data, index, at = TaskContext.get().partitionId(), 0, [], [], 0
+        task, made, data, index, at = TaskContext.get().partitionId(), 0, [], [], 0  # index: (key, line)
 
         def close() -> pa.RecordBatch:
             nonlocal made, data, index, at
@@ -179,7 +207,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive
             store.create_dir(place.rpartition("/")[0], recursive=True)
             attempt = f"{place}.{TaskContext.get().taskAttemptId()}"
             with store.open_output_stream(attempt) as out:
-                for part in zip_package([(DATA, b"".join(data)), (INDEX, "".join(index).encode())], zip64):
+                for part in zip_package([(DATA, data), (INDEX, ["".join(line for _, line in sorted(index)).encode()])], zip64):
                     out.write(part)
             store.move(attempt, place)
             done = pa.RecordBatch.from_pydict({"path": [path], "records": pa.array([len(index)], pa.int64()), "bytes": pa.array([at], pa.int64())})
@@ -188,8 +216,13 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive
 
         for batch in batches:
             for page_id, url, payload, first in zip(*(batch.column(k) for k in range(4)), strict=True):
-                record = warc_record(page_id.as_py(), url.as_py(), payload.as_py(), first.as_py())
-                index.append(f"{page_id.as_py()} {json.dumps({'offset': at, 'length': len(record), 'filename': DATA})}\n")
+                if not data:
+                    data.append(warcinfo())
+                    at = len(data[0])
+                link, raw = url.as_py(), payload.as_py()
+                record = warc_record(page_id.as_py(), link, raw, first.as_py())
+                entry = {"url": link, "mime": "text/html" if first.as_py() is None else "warc/revisit", "status": "200", "digest": f"sha1:{payload_digest(raw)}", "length": len(record), "offset": at, "filename": DATA}
+                index.append((surt(link), f"{surt(link)} 19700101000000 {json.dumps(entry)}\n"))
                 data.append(record)
                 at += len(record)
                 if at >= archive_bytes:
@@ -197,8 +230,7 @@ def write_archives(pages: DataFrame, folder: str, *, min_bytes: int = 0, archive
         if index:
             yield close()
 
-    schema = "path string, records long, bytes long"
-    return pages.sparkSession.createDataFrame(joined.mapInArrow(write, schema).collect(), schema)
+    return Tables(pages.sparkSession, "archives").write(joined.mapInArrow(write, "path string, records long, bytes long"))
 
 
 def read_archives(archives: DataFrame) -> DataFrame:
@@ -213,7 +245,7 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 with store.open_input_file(place) as file:
                     package, rows = ZipArchive(file), []
                     for line in io.StringIO(package.read(INDEX).decode()):
-                        entry = json.loads(line.split(" ", 1)[1])
+                        entry = json.loads(line.split(" ", 2)[2])
                         got = parse_record(package.read(entry["filename"], entry["offset"], entry["length"]))
                         if got["payload"] is not None and (len(got["payload"]) != got["length"] or payload_digest(got["payload"]) != got["digest"]):
                             raise ValueError(f"{path}: a payload does not match its digest")
