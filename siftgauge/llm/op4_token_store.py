@@ -24,12 +24,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as tx
 from .mph import PerfectHash, fingerprints
-from .store import new_folder
+from .store import Tables, new_folder
 
 #: Words whose ids a worker keeps; beyond it starts anew.
 CACHE_WORDS = 1_500_000
@@ -139,7 +139,7 @@ def put_folder(uri: str, files: dict[str, list]) -> None:
 
 def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Writes the store; returns the manifest, a row for each shard."""
-    rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t"))
     total = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(1, -(-total // SHARD_BYTES))
     dealt = rows.repartitionByRange(int(shards), F.col("i").asc_nulls_first(), F.xxhash64("t")).sortWithinPartitions(F.col("i").asc_nulls_first(), F.col("t").asc_nulls_first())
@@ -180,12 +180,13 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int |
         put_folder(path, {"ids.bin": [head, *payload], "index.bin": [struct.pack("<Q", len(hashed)), hashed, entries.tobytes()], "keys.bin": [key.astype("<i8").tobytes(), np.packbits(null).tobytes(), count.astype("<u8").tobytes()]})
         yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "path": [path], "dtype": [dtype.str], "first_key": pa.array([int(distinct[0]) if len(distinct) else None], pa.int64()), "last_key": pa.array([int(distinct[-1]) if len(distinct) else None], pa.int64()), "n_docs": pa.array([len(key)], pa.int64()), "n_ids": pa.array([int(count.sum())], pa.int64())})
 
-    listed = dealt.mapInArrow(write, MANIFEST).collect()  # a row a shard, each of SHARD_BYTES
-    base, out = 0, []
-    for row in sorted(listed, key=lambda r: r["shard"]):
-        out.append((*row, base))
-        base += row["n_ids"]
-    return docs.sparkSession.createDataFrame(out, MANIFEST + ", base long")
+    # Ids before each shard: summed inside blocks of shards, then over the blocks, of which there are few.
+    listed = Tables(docs.sparkSession, "manifest").write(dealt.mapInArrow(write, MANIFEST)).withColumn("_block", F.col("shard").bitwiseAND(~0xFFF))
+    blocks = listed.groupBy("_block").agg(F.sum("n_ids").alias("_ids"))
+    before = lambda *by: Window.partitionBy(*by).rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.select("_block", F.coalesce(F.sum("_ids").over(before().orderBy("_block")), F.lit(0)).alias("_base"))
+    inside = F.coalesce(F.sum("n_ids").over(before("_block").orderBy("shard")), F.lit(0))
+    return listed.withColumn("_in", inside).join(blocks, "_block").select(*(c.split()[0] for c in MANIFEST.split(", ")), (F.col("_in") + F.col("_base")).alias("base"))
 
 
 class ShardReader:
