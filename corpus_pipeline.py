@@ -21,12 +21,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component, that with the smallest id (null last; of repeated ids one row), and all without words."""
-    members = op6_jaccard_join.members(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
-    firsts = members.where("n_shingles > 0").groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("x")).select("x.row")
-    kept = firsts.unionByName(members.where("n_shingles = 0").select("row")).distinct().withColumnRenamed("row", "_row")
-    first = docs.withColumn("_row", op6_jaccard_join.row_hash()).join(kept, "_row").select(*docs.columns)
-    return first.dropDuplicates(["doc_id", "text"])
+    """One document of each component, that with the smallest id, and all without words."""
+    return op6_jaccard_join.one_of_each(docs, width=NEAR_WIDTH, percent=NEAR_PERCENT)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
