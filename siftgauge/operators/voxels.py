@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.catalog import cut
+from ..plans.store import cut
 
 KEY = ["ix", "iy", "iz"]
 _STEPS = [(1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1)]
@@ -40,11 +40,12 @@ def outside_interior(blocked: DataFrame, size: int) -> DataFrame:
     return labelled.join(open_, "label", "left").select(*KEY, "label", F.col("o").isNull().alias("interior"))
 
 
-def distances(cells: DataFrame, sources: DataFrame, most: int = 1000) -> DataFrame:
-    """cells reached from `sources` with `dist`, the number of 6-connected steps."""
+def distances(cells: DataFrame, sources: DataFrame) -> DataFrame:
+    """cells reached from `sources` with `dist`, the number of 6-connected steps; goes on until no cell is new."""
     done = cut(sources.join(cells, KEY, "left_semi").select(*KEY).distinct().withColumn("dist", F.lit(0)))
-    frontier = done
-    for step in range(1, most):
+    frontier, step = done, 0
+    while True:
+        step += 1
         frontier = cut(neighbours(frontier).distinct().join(cells, KEY, "left_semi").join(done, KEY, "left_anti").withColumn("dist", F.lit(step)))
         if not frontier.head(1):
             break

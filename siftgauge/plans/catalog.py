@@ -9,11 +9,14 @@ table of integers, PCT(x, q) the interpolated quantile, and E<k> element k of an
 from __future__ import annotations
 
 import re
-import tempfile
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators import ranking
+from .store import cut
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
@@ -21,6 +24,8 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 class Stage:
     text: str
     cut: bool = False
+    #: Makes the stage in Spark from its one source, where the SQL text would put all rows into one task.
+    make: Callable[[DataFrame], DataFrame] | None = None
 
 
 STAGES: dict[str, Stage] = {}
@@ -38,6 +43,15 @@ def query(name: str, text: str) -> None:
     QUERIES.append(name)
 
 
+def numbered(name: str, source: str, by: str, into: str = "rk", value: str | None = None) -> None:
+    """A stage that adds places in the order `by`, and with `value` its running sums lo and hi."""
+    sums = f", sum({value}) OVER (ORDER BY {by} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS hi" if value else ""
+    text = f"SELECT s.*, row_number() OVER (ORDER BY {by}) AS {into}{sums} FROM {{{source}}} s"
+    if value:
+        text = f"SELECT r.*, hi - {value} AS lo FROM ({text}) r"
+    STAGES[name] = Stage(text, True, lambda df: ranking.numbered(df, by.split(", "), into, value))
+
+
 def _translate(text: str, spark: bool) -> str:
     rules = (
         (r"E<(\d+)>", lambda m: f"CAST(embedding[{int(m[1]) + (not spark)}] AS DOUBLE)"),
@@ -54,15 +68,6 @@ def reads(name: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{(\w+)\}", STAGES[name].text)))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written once to the folder in spark.checkpoint.dir (a temporary one only where that is unset)."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        named = context.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siftgauge-"))
-    return df.checkpoint()
-
-
 def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame] | None = None) -> DataFrame:
     made = {} if made is None else made
     if name not in made:
@@ -70,7 +75,8 @@ def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         else:
             sources = {x: build(spark, sf_dir, x, made) for x in reads(name)}
-            df = spark.sql(_translate(STAGES[name].text, True), **sources)
+            make = STAGES[name].make
+            df = make(*sources.values()) if make else spark.sql(_translate(STAGES[name].text, True), **sources)
             made[name] = cut(df) if STAGES[name].cut else df
     return made[name]
 

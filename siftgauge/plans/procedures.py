@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +9,7 @@ from ..operators import selection, voxels
 from ..sources import ply
 from ..streaming import incremental
 from . import catalog
+from .store import cut, new_folder
 
 SIZE = 24
 
@@ -29,8 +27,7 @@ def s01_ply_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.dataSource.register(ply.PlyDataSource)
     g = catalog.build(spark, sf_dir, "gauss")
     rows = g.select(F.col("gid").alias("gaussian_id"), *(F.col(c).cast("float") for c in "xyz"), F.col("logit").cast("float").alias("opacity"), *(F.col(f"dc{k}").cast("float").alias(f"f_dc_{k}") for k in range(3)), *(F.col(f"ls{k}").cast("float").alias(f"scale_{k}") for k in range(3)), *(F.col(f"q{k}").cast("float").alias(f"rot_{k}") for k in range(4)), F.array(*(F.col(f"sh{k}").cast("float") for k in range(45))).alias("f_rest"))
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"file://{tempfile.mkdtemp(prefix='siftgauge-')}"
-    path = f"{base.rstrip('/')}/ply-{uuid.uuid4().hex}"
+    path = new_folder(spark, "ply")
     rows.coalesce(1).write.format("ply").mode("append").save(path)
     return spark.read.format("ply").option("path", f"{path}/part-00000.ply").option("rows_per_split", "200").load().select("gaussian_id", F.round("x", 4).alias("x"), F.round("opacity", 3).alias("opacity"), F.round(F.col("f_rest")[44], 4).alias("last_rest"))
 
@@ -63,7 +60,7 @@ def t11_poisson_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def i11_greedy_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     vis = catalog.build(spark, sf_dir, "vis")
-    return selection.greedy_cover(catalog.cut(vis.select(F.col("eye").cast("long").alias("cand"), F.col("gid").alias("item"))), catalog.cut(vis.select(F.col("gid").alias("item"), F.col("alpha").alias("w")).distinct()), 6)
+    return selection.greedy_cover(cut(vis.select(F.col("eye").cast("long").alias("cand"), F.col("gid").alias("item"))), cut(vis.select(F.col("gid").alias("item"), F.col("alpha").alias("w")).distinct()), 6)
 
 
 def a07_incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +70,7 @@ def a07_incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = None
     for part in range(4):
         batch = incremental.reduce(ratios.where(F.col("k") % 4 == part))
-        state = batch if state is None else catalog.cut(incremental.merge(state, batch))
+        state = batch if state is None else cut(incremental.merge(state, batch))
     return incremental.finish(state)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import query, stage
+from .catalog import numbered, query, stage
 
 # Two images of 24 x 24 pixels per supplier class from lineitem: prediction and truth.
 stage("imgs", "SELECT i, y, x, least(1e0, greatest(0e0, 0.5e0 + 0.4e0 * sin(x / 3e0 + i) * cos(y / 4e0))) AS a, least(1e0, greatest(0e0, 0.5e0 + 0.38e0 * sin(x / 3e0 + i + 0.05e0) * cos(y / 4e0))) AS b FROM (SELECT n_nationkey AS i FROM {nation} WHERE n_nationkey < 4) n, SERIES<0;23> AS sy(y), SERIES<0;23> AS sx(x)", cut=True)
@@ -19,11 +19,14 @@ query("a25_ssim", "SELECT i, round(avg(s), 6) AS ssim, round((1 - avg(s)) / 2, 6
 # Metric rows: dataset = l_returnflag, granularity = supplier.
 stage("metric", "SELECT l_returnflag AS dataset, CAST(l_suppkey AS STRING) AS granularity, avg(l_extendedprice) / 1000 AS psnr, avg(l_discount) AS ssim, avg(l_tax) AS lpips, count(*) AS n FROM {lineitem} GROUP BY l_returnflag, l_suppkey".replace("AS STRING", "AS VARCHAR(20)"), cut=True)
 query("a23_averages", "SELECT dataset, round(avg(psnr), 7) AS psnr, round(avg(ssim), 8) AS ssim, count(lpips) AS n_lpips FROM {metric} GROUP BY dataset")
-query("a40_group_averages", "SELECT granularity, round(avg(psnr), 7) AS psnr, row_number() OVER (ORDER BY round(avg(psnr), 9) DESC, granularity) AS place FROM {metric} GROUP BY granularity")
+stage("group_means", "SELECT granularity, avg(psnr) AS psnr, round(avg(psnr), 9) AS by_psnr FROM {metric} GROUP BY granularity")
+numbered("group_places", "group_means", "by_psnr DESC, granularity")
+query("a40_group_averages", "SELECT granularity, round(psnr, 7) AS psnr, rk AS place FROM {group_places}")
 stage("ranked", "SELECT dataset, granularity, psnr, ssim, lpips, row_number() OVER (PARTITION BY dataset ORDER BY round(psnr, 9) DESC, granularity) AS r_psnr, row_number() OVER (PARTITION BY dataset ORDER BY round(ssim, 9) DESC, granularity) AS r_ssim, row_number() OVER (PARTITION BY dataset ORDER BY round(lpips, 9), granularity) AS r_lpips FROM {metric}", cut=True)
 query("w06_dataset_ranking", "SELECT dataset, granularity, r_psnr, r_ssim, r_lpips FROM {ranked}")
 query("w07_composite_rank", "SELECT dataset, granularity, row_number() OVER (PARTITION BY dataset ORDER BY coalesce(r_psnr + r_ssim + r_lpips, 1000000000), r_psnr, r_ssim, r_lpips, granularity) AS place FROM {ranked}")
-query("w08_variance_top8", "SELECT granularity, v FROM (SELECT granularity, round(var_pop(psnr), 6) AS v, row_number() OVER (ORDER BY round(var_pop(psnr), 6), granularity) AS r FROM {metric} GROUP BY granularity) q WHERE r <= 8")
+stage("variances", "SELECT granularity, round(var_pop(psnr), 6) AS v FROM {metric} GROUP BY granularity")
+query("w08_variance_top8", "SELECT granularity, v FROM {variances} ORDER BY v, granularity LIMIT 8")
 query("w09_variance_entries", "SELECT metric, value, row_number() OVER (ORDER BY metric, value) AS place FROM (SELECT 'psnr' AS metric, round(var_pop(psnr), 6) AS value FROM {metric} UNION ALL SELECT 'ssim', round(var_pop(ssim), 9) FROM {metric} UNION ALL SELECT 'lpips', round(var_pop(lpips), 9) FROM {metric}) q")
 query("w10_series_order", "SELECT name, row_number() OVER (ORDER BY CASE WHEN name LIKE '%psnr' THEN 0 WHEN name LIKE '%ssim' THEN 1 WHEN name LIKE '%lpips' THEN 2 ELSE 3 END, CASE WHEN name LIKE 'avg%' THEN 0 WHEN name LIKE 'rank%' THEN 1 ELSE 2 END, name) AS place FROM (SELECT 'avg_psnr' AS name UNION ALL SELECT 'rank_psnr' UNION ALL SELECT 'ssim' UNION ALL SELECT 'avg_lpips' UNION ALL SELECT 'other') q")
 query("a41_win_counts", "SELECT granularity, count(*) AS wins FROM {ranked} WHERE r_psnr = 1 GROUP BY granularity")
@@ -31,8 +34,11 @@ query("a42_view_stats", "SELECT dataset, round(avg(psnr), 7) AS mean, round(medi
 query("a43_numeric_columns", "SELECT count(try_cast(l_returnflag AS DOUBLE)) > 0 AS returnflag, count(try_cast(CAST(l_quantity AS VARCHAR(30)) AS DOUBLE)) > 0 AS quantity FROM {lineitem}")
 query("f13_baseline_rows", "SELECT granularity, psnr > 30 AS high FROM (SELECT granularity, psnr FROM {metric} UNION ALL SELECT ' Baseline ', 31e0) q WHERE lower(trim(granularity)) = 'baseline'")
 query("f14_exclude_missing", "SELECT dataset, count(*) AS n FROM {metric} WHERE psnr IS NOT NULL AND NOT isnan(psnr) GROUP BY dataset")
-stage("loss", "SELECT iteration, value, count(*) OVER () AS n FROM (SELECT row_number() OVER (ORDER BY ts, event_id) AS iteration, value FROM {events}) e", cut=True)
-query("w04_moving_average", "SELECT iteration, round(m, 7) AS m FROM (SELECT iteration, n, avg(value) OVER (ORDER BY iteration ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM {loss}) q WHERE iteration >= greatest(1, least(20, n))")
+stage("losses", "SELECT ts, event_id, value FROM {events}")
+numbered("loss", "losses", "ts, event_id", into="iteration")
+# Blocks of iterations, each with the 19 before it, so that no window spans the table.
+stage("stretch", "SELECT iteration, value, floor(iteration / 100000) AS block, 1 AS own FROM {loss} UNION ALL SELECT iteration, value, floor(iteration / 100000) + 1, 0 FROM {loss} WHERE iteration % 100000 >= 100000 - 19")
+query("w04_moving_average", "SELECT iteration, round(m, 7) AS m FROM (SELECT iteration, own, avg(value) OVER (PARTITION BY block ORDER BY iteration ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS m FROM {stretch}) q CROSS JOIN (SELECT count(*) AS n FROM {loss}) c WHERE own = 1 AND iteration >= greatest(1, least(20, n))")
 query("w05_loss_extremes", "SELECT min(m) AS low, max(m) AS high FROM {w04_moving_average}")
 query("p33_string_to_float", "SELECT s, try_cast(trim(s) AS DOUBLE) AS v FROM (SELECT ' 1.5 ' AS s UNION ALL SELECT 'bad' UNION ALL SELECT '' UNION ALL SELECT '-2e3') q")
 query("p34_path_leaf", r"SELECT url, regexp_extract(url, '([^/]*)$', 1) AS leaf FROM {pages}")
@@ -41,7 +47,9 @@ query("p36_labels", "SELECT dataset, granularity, concat_ws('·', dataset, granu
 query("p37_view_index", r"SELECT n_name, try_cast(regexp_extract(n_name, '([0-9]+)', 1) AS BIGINT) AS idx FROM {nation}")
 query("p38_prefix_strip", r"SELECT n_name, regexp_replace(n_name, '^NATION_', '') AS stem FROM {nation}")
 query("j07_pair_by_stem", r"SELECT p.stem, p.n_nationkey AS pred, g.k AS truth FROM (SELECT n_nationkey, regexp_replace(n_name, '^NATION_', '') AS stem FROM {nation}) p LEFT JOIN (SELECT CAST(r_regionkey AS VARCHAR(10)) AS stem, max(r_regionkey) AS k FROM {region} GROUP BY r_regionkey) g ON p.stem = g.stem")
-query("j08_positional_pairs", "SELECT a.n_name, b.r_name FROM (SELECT n_name, row_number() OVER (ORDER BY n_nationkey) AS k FROM {nation}) a JOIN (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) AS k FROM {region}) b ON a.k = b.k")
+numbered("nations", "nation", "n_nationkey")
+numbered("regions", "region", "r_regionkey")
+query("j08_positional_pairs", "SELECT a.n_name, b.r_name FROM {nations} a JOIN {regions} b ON a.rk = b.rk")
 query("s10_manifest_scan", r"SELECT path, label FROM (SELECT trim(split_part(line, ',', 1)) AS path, lower(trim(split_part(line, ',', 2))) AS label FROM (SELECT 'a/b, Indoor' AS line UNION ALL SELECT '# note' UNION ALL SELECT '' UNION ALL SELECT 'c' UNION ALL SELECT 'd,outdoor') q WHERE trim(line) <> '' AND line NOT LIKE '#%') z WHERE label IN ('indoor', 'outdoor')")
 query("s13_props_json", r"SELECT event_type, count(*) AS n, sum(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT)) AS k FROM {events} GROUP BY event_type")
 query("s18_path_layout", r"SELECT p, regexp_extract(p, '^(.*)/point_cloud/iteration_([0-9]+)/point_cloud\.ply$', 2) AS iteration FROM (SELECT 'm/point_cloud/iteration_30000/point_cloud.ply' AS p UNION ALL SELECT 'm/x.ply') q")

@@ -3,10 +3,12 @@
 import json
 import math
 
+import dense
 import duckdb
+import numpy as np
 import pytest
 
-from siftgauge.operators import selection, voxels
+from siftgauge.operators import ranking, selection, voxels
 from siftgauge.plans import catalog, queries
 from siftgauge.sources import cameras, ply
 
@@ -37,14 +39,58 @@ def test_all_queries_match_sql(spark, duck):
         assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows(cols, got.fetchall()), name
 
 
-def test_level_means(spark):
-    """Means over 500 items on two camera batches, from an independent dense computation."""
+LEVELS = (("a01_per_channel", "channel"), ("a02_per_pixel", "pixel"), ("a03_per_tile", "tile"), ("a04_per_image", "image"), ("a05_per_batch", "batch"), ("a06_per_scene", "scene"))
+
+
+@pytest.fixture(scope="module")
+def gaussians(duck):
+    return dense.scene([r[0] for r in duck.execute("SELECT embedding FROM embeddings ORDER BY vec_id").fetchall()])
+
+
+def test_dense_levels_have_the_published_means(gaussians):
+    """Means of degree 0 over 500 items on two camera batches, max and mean, from another dense computation."""
+    want = {"l1": ((0.733226, 0.704942, 0.077855, 0.005788, 0.002415, 0.002), (0.009975, 0.009977, 0.010231, 0.002103, 0.002006, 0.002)), "l2": ((0.631282, 0.599760, 0.051109, 0.002854, 0.001060, 0.000839), (0.005350, 0.005322, 0.005280, 0.000882, 0.000840, 0.000839))}
+    for norm, both in want.items():
+        found = dense.levels(gaussians, dense.cameras(10), degree=0, norm=norm)
+        for k, values in enumerate(both):
+            assert [round(float(found[level][k].mean()), 6) for _, level in LEVELS] == list(values)
+
+
+@pytest.mark.parametrize("variant,mode", [("", {}), ("_nocolour", {"colour": False}), ("_white", {"background": 1.0})])
+def test_levels_equal_dense_arrays(spark, gaussians, variant, mode):
+    """Degree 3 on all cameras: every gaussian's value of every level, colour mode, norm and reduction."""
     made: dict = {}
-    want = {"l1": (0.733226, 0.704942, 0.077855, 0.005788, 0.002415, 0.002), "l2": (0.631282, 0.599760, 0.051109, 0.002854, 0.001060, 0.000839)}
-    for norm, values in want.items():
-        for name, value in zip(("a01_per_channel", "a02_per_pixel", "a03_per_tile", "a04_per_image", "a05_per_batch", "a06_per_scene"), values, strict=True):
-            total = sum(r["sens_max"] for r in catalog.build(spark, SF, f"{name}_{norm}", made).collect())
-            assert abs(total / 500 - value) < 2e-5, (name, norm, total / 500)
+    for norm in ("l1", "l2"):
+        want = dense.levels(gaussians, dense.cameras(), norm=norm, **mode)
+        for name, level in LEVELS:
+            most, mean = np.zeros(500), np.zeros(500)
+            for r in catalog.build(spark, SF, f"{name}_{norm}{variant}", made).collect():
+                most[r["gid"]], mean[r["gid"]] = r["sens_max"], r["sens_mean"]
+            assert abs(most - want[level][0]).max() < 6e-7 and abs(mean - want[level][1]).max() < 6e-7, (name, norm)
+
+
+def test_colours_equal_dense_harmonics(spark, gaussians):
+    cams = dense.cameras()
+    for r in catalog.build(spark, SF, "p11_sh_colour").where("gid < 40").collect():
+        rot, eye = cams[r["cam"]]
+        v = rot @ (gaussians["xyz"][r["gid"]] - eye)
+        for degree in range(4):
+            basis = dense.harmonics((v / np.linalg.norm(v))[None], degree)[0]
+            coeffs = np.concatenate([gaussians["dc"][r["gid"]][:, None], gaussians["rest"][r["gid"]]], axis=1)
+            for c in range(3):
+                assert abs(r[f"c{c}_degree{degree}"] - max(0, 0.5 + coeffs[c, : len(basis)] @ basis)) < 1e-6
+
+
+def test_ranges_give_the_places_of_a_sort(spark):
+    values = [(k, (k * 7919) % 101 / 101) for k in range(300)]
+    df = spark.createDataFrame(values, "id long, p double").repartition(5)
+    got = ranking.numbered(df, ["p DESC", "id"], "rk", "p").collect()
+    at = 0.0
+    for k, (i, p) in enumerate(sorted(values, key=lambda x: (-x[1], x[0])), 1):
+        row = next(r for r in got if r["id"] == i)
+        assert row["rk"] == k and abs(row["lo"] - at) < 1e-9 and abs(row["hi"] - at - p) < 1e-9
+        at += p
+    assert ranking.numbered(df.limit(0), ["p"], "rk").count() == 0
 
 
 def test_camera_dialects(spark, tmp_path):
