@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import catalog, geometry, procedures, report, scene, sensitivity  # noqa: F401
+from . import catalog, classify, geometry, procedures, report, scene, sensitivity  # noqa: F401
 
 
 def _run(name, spark, sf_dir):

@@ -5,24 +5,8 @@ from __future__ import annotations
 from .catalog import query, stage
 
 stage("pts", "SELECT vec_id AS gid, label AS scene, 8 * E<0> AS x, 8 * E<1> AS y, 8 * E<2> AS z, 1 / (1 + exp(-16 * E<51>)) AS alpha, 4 * E<3> AS r, 4 * E<4> AS g, 4 * E<5> AS b, exp(-2.5e0 + 4 * E<52>) AS s0 FROM {embeddings}", cut=True)
-stage("aabb", "SELECT scene, " + ", ".join(f"(lo{c} + hi{c}) / 2 - 0.525e0 * (hi{c} - lo{c}) AS lo{c}, (lo{c} + hi{c}) / 2 + 0.525e0 * (hi{c} - lo{c}) AS hi{c}" for c in "xyz") + " FROM (SELECT scene, " + ", ".join(f"PCT({c}, 0.01) AS lo{c}, PCT({c}, 0.99) AS hi{c}" for c in "xyz") + " FROM {pts} GROUP BY scene) q", cut=True)
-query("a17_robust_aabb", "SELECT scene, " + ", ".join(f"round({e}{c}, 8) AS {e}{c}" for c in "xyz" for e in ("lo", "hi")) + " FROM {aabb}")
 query("a18_lower_median", "SELECT scene, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY s0), 9) AS s_med, round(percentile_disc(0.5) WITHIN GROUP (ORDER BY x), 8) AS x_med FROM {pts} GROUP BY scene")
-stage("feat", "SELECT p.*, hix - lox AS wx, hiy - loy AS wy, hiz - loz AS wz, lox, loy, loz, hix, hiy, hiz FROM {pts} p JOIN {aabb} a ON p.scene = a.scene", cut=True)
-_NEAR = {f"{e}{c}": (f"{c} - lo{c} < 0.05e0 * w{c}" if e == "lo" else f"hi{c} - {c} < 0.05e0 * w{c}") for c in "xyz" for e in ("lo", "hi")}
-_SUM = " + ".join(f"CAST(({_NEAR['lo' + c]}) OR ({_NEAR['hi' + c]}) AS INT)" for c in "xyz")
 query("f04_opacity_filter", "SELECT scene, count(*) AS n FROM {pts} WHERE alpha >= 0.3e0 GROUP BY scene")
-query("f05_plane_bands", f"SELECT scene, count_if({_SUM} >= 1) AS any_axis, count_if({_SUM} >= 2) AS two_axes FROM {{feat}} GROUP BY scene")
-query("f06_core_membership", "SELECT scene, count(*) AS n FROM {feat} WHERE " + " AND ".join(f"{c} > lo{c} + 0.1e0 * w{c} AND hi{c} - 0.1e0 * w{c} > {c}" for c in "xyz") + " GROUP BY scene")
-query("a19_fractions", "SELECT scene, " + ", ".join(f"round(avg(CAST({v} AS INT)), 8) AS frac_{k}" for k, v in _NEAR.items()) + " FROM {feat} GROUP BY scene")
-query("a20_conditional_means", "SELECT scene, round(coalesce(avg(CASE WHEN y > hiy - 0.1e0 * wy THEN b - (r + g) / 2 END), 0e0), 8) AS blue, round(coalesce(avg(CASE WHEN y > hiy - 0.1e0 * wy THEN alpha END), 1e0), 8) AS top_alpha FROM {feat} GROUP BY scene")
-stage("probe", "SELECT k, sqrt(1 - z * z) * cos(t) AS dx, sqrt(1 - z * z) * sin(t) AS dy, z AS dz FROM (SELECT k, 1 - 2 * (k + 0.5e0) / 64e0 AS z, pi() * (1 + sqrt(5e0)) * (k + 0.5e0) AS t FROM (SELECT 1 AS one) o, SERIES<0;63> AS s(k)) q")
-stage("seen", "SELECT DISTINCT p.scene, d.k FROM {probe} d JOIN (SELECT scene, x / greatest(sqrt(x * x + y * y + z * z), 1e-8) AS x, y / greatest(sqrt(x * x + y * y + z * z), 1e-8) AS y, z / greatest(sqrt(x * x + y * y + z * z), 1e-8) AS z, sqrt(x * x + y * y + z * z) AS dist FROM {pts} WHERE alpha >= 0.3e0) p ON p.x * d.dx + p.y * d.dy + p.z * d.dz >= 0.95e0 AND p.dist <= 4", cut=True)
-query("f07_cone_test", "SELECT scene, k FROM {seen}")
-query("j09_direction_cone_join", "SELECT scene, count(*) AS blocked FROM {seen} GROUP BY scene")
-query("a21_openness", "SELECT s.scene, round(avg(CAST(x.k IS NULL AS INT)), 8) AS open_global, round(avg(CASE WHEN dy > 0 THEN CAST(x.k IS NULL AS INT) END), 8) AS open_up FROM (SELECT DISTINCT scene FROM {pts}) s CROSS JOIN {probe} d LEFT JOIN {seen} x ON x.scene = s.scene AND x.k = d.k GROUP BY s.scene")
-query("i13_fallback_widening", "SELECT scene, n1, n2, n3, CASE WHEN n1 >= 10 THEN n1 WHEN n2 >= 10 THEN n2 ELSE n3 END AS used FROM (SELECT scene, " + ", ".join(f"count_if(y - loy < least({f}e0 * 0.02e0, 0.12e0) * wy) AS n{k}" for k, f in ((1, "1"), (2, "1.5"), (3, "2"))) + " FROM {feat} GROUP BY scene) z")
-query("p43_logistic_probability", "SELECT scene, round(1 / (1 + exp(-2 * (open_up + open_global - 0.9e0))), 8) AS p_outdoor, CASE WHEN abs(1 / (1 + exp(-2 * (open_up + open_global - 0.9e0))) - 0.5e0) < 0.05e0 THEN 'uncertain' WHEN open_up + open_global > 0.9e0 THEN 'outdoor' ELSE 'indoor' END AS label FROM {a21_openness}")
 query("a22_confusion", "SELECT count_if(quality = 1 AND toxic = 1) AS tp, count_if(quality = 1 AND toxic = 0) AS fn, count_if(quality = 0 AND toxic = 1) AS fp, count_if(quality = 0 AND toxic = 0) AS tn, round(avg(CAST(quality = toxic AS INT)), 8) AS accuracy, count_if(quality IS NULL) AS skipped FROM {labels}")
 # Voxels of the whole scene on a 24^3 grid over its robust box.
 stage("box", ("SELECT " + ", ".join(f"PCT({c}, 0.01) AS lo{c}, PCT({c}, 0.99) AS hi{c}" for c in "xyz") + ", PCT(s0, 0.5) AS s_med FROM {pts}"), cut=True)
@@ -42,7 +26,8 @@ query("a33_mask_aabb", "SELECT min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(
 query("a34_projections", "SELECT 'xy' AS plane, ix AS a, iy AS b FROM {occ} GROUP BY ix, iy UNION ALL SELECT 'xz', ix, iz FROM {occ} GROUP BY ix, iz UNION ALL SELECT 'yz', iy, iz FROM {occ} GROUP BY iy, iz")
 query("f17_roi_size", "SELECT scene, count(*) AS n FROM {vox} GROUP BY scene HAVING count(*) >= greatest(20, floor(24 * 24 * 24 / 20000))")
 query("a32_axis_histogram", "SELECT axis, CAST(least(255e0, greatest(0e0, floor((v - lo) / (hi - lo) * 256))) AS INT) AS bin, count(*) AS n FROM (SELECT 'x' AS axis, x AS v, lox AS lo, hix AS hi FROM {pts} CROSS JOIN {box} UNION ALL SELECT 'y', y, loy, hiy FROM {pts} CROSS JOIN {box} UNION ALL SELECT 'z', z, loz, hiz FROM {pts} CROSS JOIN {box}) u GROUP BY axis, CAST(least(255e0, greatest(0e0, floor((v - lo) / (hi - lo) * 256))) AS INT)")
-stage("dirs", "SELECT k, dx, dy, dz FROM {probe} WHERE k % 8 = 0")
+# Eight directions over the sphere.
+stage("dirs", "SELECT k, sqrt(1 - z * z) * cos(t) AS dx, sqrt(1 - z * z) * sin(t) AS dy, z AS dz FROM (SELECT k, 1 - 2 * (k + 0.5e0) / 8e0 AS z, pi() * (1 + sqrt(5e0)) * (k + 0.5e0) AS t FROM (SELECT 1 AS one) o, SERIES<0;7> AS s(k)) q")
 stage("supports", "SELECT k, dx, dy, dz, min(x * dx + y * dy + z * dz) AS bmin, max(x * dx + y * dy + z * dz) AS bmax FROM {dirs} CROSS JOIN (SELECT x, y, z FROM {pts} WHERE scene < 5) p GROUP BY k, dx, dy, dz", cut=True)
 query("a35_kdop_supports", "SELECT k, round(bmin, 8) AS bmin, round(bmax, 8) AS bmax FROM {supports}")
 query("f08_point_in_kdop", "SELECT gid, bool_and(x * dx + y * dy + z * dz BETWEEN bmin - 1e-9 AND bmax + 1e-9) AS inside FROM {pts} CROSS JOIN {supports} GROUP BY gid")
@@ -65,7 +50,6 @@ query("u03_jaccard", "SELECT eye_a, max(jaccard) AS best FROM {j14_pairwise_jacc
 query("u04_unused_targets", "SELECT target FROM {centre} c WHERE NOT EXISTS (SELECT 1 FROM {near} n WHERE n.target = c.target AND n.alpha > 0.95e0)")
 query("u06_unique_rows", "SELECT DISTINCT ix, iy FROM {vox}")
 query("j16_first_roi", "SELECT v.gid, coalesce(min(r.scene), 0) AS roi FROM {vox} v LEFT JOIN {f17_roi_size} r ON v.scene = r.scene GROUP BY v.gid")
-query("p21_ray_aabb_exit", "SELECT gid, round(greatest(0e0, least(least(tx, ty), tz)), 7) AS t FROM (SELECT gid, " + ", ".join(f"CASE WHEN abs({c}) < 1e-9 THEN 1e30 ELSE greatest((lo{c} - 0) / {c}, (hi{c} - 0) / {c}) END AS t{c}" for c in "xyz") + " FROM {pts} CROSS JOIN {box}) q")
 query("i07_eye_backoff", "SELECT gid, min(k) AS k FROM {pts} p CROSS JOIN {box} b, SERIES<0;15> AS s(k) WHERE abs(x) * pow(0.85e0, k) <= hix AND abs(y) * pow(0.85e0, k) <= hiy AND abs(z) * pow(0.85e0, k) <= hiz GROUP BY gid")
 query("p14_fov_focal", "SELECT k, round(32 / tan(radians(k) / 2), 8) AS focal, round(2 * atan(32 / greatest(32 / tan(radians(k) / 2), 1e-8)), 8) AS fov FROM (SELECT 1 AS one) o, SERIES<20;120> AS s(k)")
 query("p18_vector_algebra", "SELECT gid, round(x / greatest(sqrt(x * x + y * y + z * z), 1e-12), 8) AS nx, round(x * r + y * g + z * b, 7) AS dot, round(y * b - z * g, 7) AS cx, round(z * r - x * b, 7) AS cy, round(x * g - y * r, 7) AS cz FROM {pts}")

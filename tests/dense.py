@@ -104,3 +104,63 @@ def levels(g, cams, degree=3, background=0.0, colour=True, norm="l1", size=64, p
         ratios, weights = np.array(ratios), np.array(weights)
         out[name] = (ratios.max(0), (ratios * weights).sum(0) / np.maximum(weights.sum(0), 1))
     return {k: (np.minimum(a, 1), np.minimum(b, 1)) for k, (a, b) in out.items()}
+
+
+def classify(xyz, dc, alpha, p):
+    """(label, p_outdoor, band) of one scene for the thresholds `p`, step by step on arrays."""
+    low, high = np.quantile(xyz, [p["aabb_pct_low"], p["aabb_pct_high"]], axis=0)
+    mid = (low + high) / 2
+    lo, hi = mid + (low - mid) * p["aabb_mul"], mid + (high - mid) * p["aabb_mul"]
+    diag = max(np.linalg.norm(hi - lo), 1e-8)
+    below, above = np.abs(xyz - lo), np.abs(hi - xyz)
+
+    def band(m):
+        shell, strip = ((min(p[t] * diag * m, 0.12 * diag) if m > 1 else p[t] * diag) for t in ("tau_shell_frac", "tau_topbot_frac"))
+        a, b = below <= shell, above <= shell
+        near = a | b
+        pair = np.minimum(a.mean(0), b.mean(0))
+        return {"near": near.any(1), "any": near.any(1).mean(), "two": (near.sum(1) >= 2).mean(), "planes": near.mean(0), "px": pair[0], "pz": pair[2], "top": above[:, 1] <= strip, "bottom": (below[:, 1] <= strip).mean()}
+
+    f = band(1)
+    core = ((below > p["thr_core_frac"] * diag) & (above > p["thr_core_frac"] * diag)).all(1)
+    rgb = np.clip(dc + 0.5, 0, 1)
+    blue, top_alpha = 0.0, 1.0
+    if f["top"].any():
+        t = rgb[f["top"]]
+        blue, top_alpha = np.maximum(t[:, 2] - np.maximum(t[:, 0], t[:, 1]), 0).mean(), alpha[f["top"]].mean()
+    gap = max(0, f["any"] - core.mean())
+    pick = core if core.any() else ~f["near"]
+    centre = np.sort(xyz[pick], axis=0)[(pick.sum() - 1) // 2] if pick.any() else (lo + hi) / 2
+    n = p["open_bins"]
+    z = 1 - 2 * (np.arange(n) + 0.5) / n
+    theta = math.pi * (1 + math.sqrt(5)) * (np.arange(n) + 0.5)
+    dirs = np.stack([np.sqrt(1 - z * z) * np.cos(theta), np.sqrt(1 - z * z) * np.sin(theta), z], 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        exits = np.where(np.abs(dirs) < 1e-9, np.inf, np.maximum((lo - centre) / dirs, (hi - centre) / dirs)).min(1)
+    reach = np.minimum(p["open_radius_frac"] * diag, np.maximum(exits, 0))
+    v = (xyz - centre)[alpha >= p["open_alpha_min"]]
+    dist = np.linalg.norm(v, axis=1)
+    blocked = ((dirs @ (v / np.maximum(dist, 1e-8)[:, None]).T >= math.cos(math.radians(p["open_cone_deg"]))) & (dist <= reach[:, None])).any(1)
+    free, up = (~blocked).mean(), (~blocked)[dirs[:, 1] > 0].mean()
+    lock = up >= 0.45 or free >= 0.45
+    ratio = (hi[1] - lo[1]) / diag
+    walls = lambda f: f["px"] + f["pz"] >= 0.05 or f["planes"][0] + f["planes"][2] >= 0.18
+    asks = not lock and f["any"] < 0.4 and not walls(f) and up < 0.25 and free < 0.3 and blue < 0.06 and top_alpha >= 0.15 and (gap >= 0.25 or core.mean() >= 0.04 or ratio <= 0.45)
+    used = 0
+    if p["io_fallback"] == "force" or p["io_fallback"] == "auto" and asks:
+        for k, m in enumerate((1.5, 2.0), 1):
+            g = band(m)
+            if g["any"] >= 0.4 or walls(g):
+                f, used = g, k
+                break
+    top = f["top"].mean()
+    hole = top < 0.08 and walls(f)
+    out = 1.4 * min(1, max(0, ratio / 0.25)) * max(0, f["bottom"] - top) + 0.5 * max(0, 0.25 - f["any"]) + 0.4 * max(0, 0.12 - f["two"])
+    out += (0.9 * max(0, blue) + 0.7 * max(0, 0.35 - top_alpha)) * (top >= 0.08)
+    out += 0.8 * (0.7 if hole else 1) * max(0, free - 0.35) + 1.1 * (0.6 if hole else 1) * max(0, up - 0.35)
+    ins = 0.9 * max(0, f["any"] - 0.28) + 0.7 * max(0, f["two"] - 0.07) + f["px"] + f["pz"] + 0.8 * min(f["planes"][0], f["planes"][2]) + 0.5 * max(0, top + f["bottom"] - 0.18) + gap + 0.35 * hole
+    prob = 1 / (1 + math.exp(-2 * (out - ins)))
+    label = "outdoor" if prob > 0.5 else "indoor"
+    if lock and label == "indoor":
+        label = "outdoor" if prob >= 0.5 else "uncertain"
+    return "uncertain" if abs(prob - 0.5) < p["io_uncertain_band"] else label, prob, used
