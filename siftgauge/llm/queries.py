@@ -12,6 +12,6 @@ from .op7_sharding import op7_shard_rows
 from .op8_html import op8_html_text
 from .op9_packing import op9_packing
 from .op10_decontaminate import op10_decontaminate
+from .oracles import ORACLES  # noqa: F401
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_quality_rules, op3_warc_zip, op4_token_store, op5_language_id, op6_jaccard_join, op7_shard_rows, op8_html_text, op9_packing, op10_decontaminate)}
-ORACLES: dict[str, str] = {}
