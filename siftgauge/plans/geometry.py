@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .catalog import query, stage
+from .catalog import numbered, query, stage
 from .sensitivity import EPS
 
 W, TILE, FOCAL = 64, 16, "(32e0 / tan(pi() / 6e0))"
@@ -116,3 +116,22 @@ query("s16_depth_normalised", "SELECT cam, px, py, round((depth - lo) / (hi - lo
 query("w02_prefix_contribution", "SELECT gid, round(sum(e0), 5) AS e0, round(sum(e1), 5) AS e1, round(sum(e2), 5) AS e2 FROM {eff} GROUP BY gid")
 query("a08_effective_contribution", "SELECT cam, round(sum(e0 + e1 + e2), 4) AS e, count_if(e0 + e1 + e2 > 0) AS n FROM {eff} GROUP BY cam")
 query("a11_no_colour", "SELECT gid, round(max(w), 6) AS sens FROM {comp} GROUP BY gid")
+
+# All levels of a model as one table, and the coresets of each of them.
+_LEVELS = [(name, level) for name, level in (("a01_per_channel", "per_channel"), ("a02_per_pixel", "per_pixel"), ("a03_per_tile", "per_tile"), ("a04_per_image", "per_image"), ("a05_per_batch", "per_batch"), ("a06_per_scene", "per_scene"))]
+stage("all_levels", " UNION ALL ".join(f"SELECT gid, '{level}' AS granularity, '{norm}' AS norm, '{kind}' AS reduction, {'true' if v else 'false'} AS nocolour, sens_{kind} AS sens FROM {{{name}_{norm}{v}}}" for name, level in _LEVELS for norm in ("l1", "l2") for kind in ("max", "mean") for v in ("", "_nocolour")), cut=True)
+_CHANCE = "((((gid * 1103515245 + 12345 + 7 * 7919) % 2147483648) * 1103515245 + 12345) % 2147483648)"
+stage("offered", f"SELECT gid, concat(granularity, '_', norm, '_', reduction) AS g, sens FROM {{all_levels}} WHERE NOT nocolour UNION ALL SELECT gid, 'uniform', {_CHANCE} / 2147483648e0 FROM {{gauss}}")
+numbered("in_turn", "offered", "g, sens DESC, gid")
+# One order over all outputs; a place in an output is the place in the whole less those of the outputs before.
+query("t07_all_coresets", "SELECT t.g, gid FROM {in_turn} t JOIN (SELECT g, min(rk) AS first FROM {in_turn} GROUP BY g) f ON t.g = f.g CROSS JOIN (SELECT greatest(1, RINT<0.1e0 * count(*)>) AS kept FROM {gauss}) k WHERE rk - first < kept")
+# A coreset of gaussians drawn in proportion to their sensitivity per image; colours carry the weights, opacity and shape do not.
+stage("g_prob", "SELECT gid, sens_max / t AS p FROM {a04_per_image_l1} CROSS JOIN (SELECT sum(sens_max) AS t FROM {a04_per_image_l1}) s", cut=True)
+numbered("g_bounds", "g_prob", "gid", value="p")
+stage("g_intervals", "SELECT b.gid, lo, hi, cell FROM (SELECT gid, lo, hi, CAST(floor(greatest(lo, 0e0) * n) AS INT) AS first, CAST(greatest(floor(greatest(lo, 0e0) * n), floor(hi * n)) AS INT) AS last FROM {g_bounds} CROSS JOIN (SELECT count(*) AS n FROM {g_prob}) c) b, SERIES<first;last> AS s(cell)")
+stage("g_drawn", "SELECT i.gid, count(*) AS draws FROM (SELECT u, CAST(floor(u * n) AS INT) AS cell FROM {draws} CROSS JOIN (SELECT count(*) AS n FROM {g_prob}) c) d JOIN {g_intervals} i ON d.cell = i.cell AND d.u >= i.lo AND d.u < i.hi GROUP BY i.gid")
+stage("g_raw", "SELECT d.gid, draws, p, draws / greatest(500 * p, 1e-12) AS w FROM {g_drawn} d JOIN {g_prob} p ON d.gid = p.gid", cut=True)
+stage("g_weights", "SELECT gid, draws, least(least(w, q), 4 * m) AS w FROM {g_raw} CROSS JOIN (SELECT PCT(w, 0.999) AS q, avg(w / t) AS m FROM {g_raw} CROSS JOIN (SELECT sum(w * p) AS t FROM {g_raw}) z) c")
+stage("reweighted", "SELECT g.gid, w, draws, x, y, z, logit, " + ", ".join(f"ls{k}" for k in range(3)) + ", " + ", ".join(f"q{k}" for k in range(4)) + ", " + ", ".join(f"w * dc{k} AS dc{k}" for k in range(3)) + ", " + ", ".join(f"w * sh{k} AS sh{k}" for k in range(45)) + " FROM {gauss} g JOIN {g_weights} w ON g.gid = w.gid", cut=True)
+query("t04_sh_coreset", "SELECT gid, draws, round(w, 6) AS w, " + ", ".join(f"round(dc{k}, 6) AS dc{k}" for k in range(3)) + ", round(" + " + ".join(f"abs(sh{k})" for k in range(45)) + ", 5) AS rest FROM {reweighted}")
+query("p30_colour_reweight", "SELECT gid, round(w, 6) AS w, " + ", ".join(f"round(sh{k}, 6) AS sh{k}" for k in (0, 14, 15, 29, 30, 44)) + " FROM {reweighted}")

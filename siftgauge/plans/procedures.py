@@ -28,7 +28,7 @@ def s01_ply_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = catalog.build(spark, sf_dir, "gauss")
     rows = g.select(F.col("gid").alias("gaussian_id"), *(F.col(c).cast("float") for c in "xyz"), F.col("logit").cast("float").alias("opacity"), *(F.col(f"dc{k}").cast("float").alias(f"f_dc_{k}") for k in range(3)), *(F.col(f"ls{k}").cast("float").alias(f"scale_{k}") for k in range(3)), *(F.col(f"q{k}").cast("float").alias(f"rot_{k}") for k in range(4)), F.array(*(F.col(f"sh{k}").cast("float") for k in range(45))).alias("f_rest"))
     path = new_folder(spark, "ply")
-    rows.coalesce(1).write.format("ply").mode("append").save(path)
+    rows.coalesce(1).sortWithinPartitions("gaussian_id").write.format("ply").mode("append").save(path)
     return spark.read.format("ply").option("path", f"{path}/part-00000.ply").option("rows_per_split", "200").load().select("gaussian_id", F.round("x", 4).alias("x"), F.round("opacity", 3).alias("opacity"), F.round(F.col("f_rest")[44], 4).alias("last_rest"))
 
 

@@ -50,11 +50,5 @@ query("j07_pair_by_stem", r"SELECT p.stem, p.n_nationkey AS pred, g.k AS truth F
 numbered("nations", "nation", "n_nationkey")
 numbered("regions", "region", "r_regionkey")
 query("j08_positional_pairs", "SELECT a.n_name, b.r_name FROM {nations} a JOIN {regions} b ON a.rk = b.rk")
-query("s10_manifest_scan", r"SELECT path, label FROM (SELECT trim(split_part(line, ',', 1)) AS path, lower(trim(split_part(line, ',', 2))) AS label FROM (SELECT 'a/b, Indoor' AS line UNION ALL SELECT '# note' UNION ALL SELECT '' UNION ALL SELECT 'c' UNION ALL SELECT 'd,outdoor') q WHERE trim(line) <> '' AND line NOT LIKE '#%') z WHERE label IN ('indoor', 'outdoor')")
-query("s13_props_json", r"SELECT event_type, count(*) AS n, sum(CAST(regexp_extract(props, '\"k\": *([0-9]+)', 1) AS BIGINT)) AS k FROM {events} GROUP BY event_type")
-query("s18_path_layout", r"SELECT p, regexp_extract(p, '^(.*)/point_cloud/iteration_([0-9]+)/point_cloud\.ply$', 2) AS iteration FROM (SELECT 'm/point_cloud/iteration_30000/point_cloud.ply' AS p UNION ALL SELECT 'm/x.ply') q")
-query("s21_resume_iteration", r"SELECT p, coalesce(try_cast(regexp_extract(p, 'chkpnt([0-9]+)', 1) AS BIGINT), try_cast(regexp_extract(p, 'iteration_([0-9]+)', 1) AS BIGINT), 30000) AS iteration FROM (SELECT 'm/chkpnt7000.pth' AS p UNION ALL SELECT 'm/iteration_200/x.ply' UNION ALL SELECT 'm') q")
 query("u01_concat_cameras", "SELECT ord, name FROM (SELECT n_nationkey AS ord, n_name AS name FROM {nation} UNION ALL SELECT 100 + r_regionkey, r_name FROM {region}) u")
-query("u05_listing_filter", "SELECT n_name FROM {nation} WHERE NOT n_name LIKE '%2'")
-query("f15_preset_override", "SELECT coalesce(u, p, d) AS band FROM (SELECT CAST(NULL AS DOUBLE) AS u, 0.05e0 AS p, 0.1e0 AS d UNION ALL SELECT 0.2e0, 0.05e0, 0.1e0) q")
 query("t13_suffix_sort", r"SELECT c, row_number() OVER (ORDER BY CAST(regexp_extract(c, '([0-9]+)$', 1) AS INT)) AS place FROM (SELECT 'f_rest_10' AS c UNION ALL SELECT 'f_rest_2' UNION ALL SELECT 'f_rest_0') q")

@@ -40,12 +40,8 @@ query("a13_unique_counts", "SELECT draws, count(*) AS items FROM {t03_sample_wit
 stage("weighted", "SELECT t.item, t.draws, p, t.draws / greatest(500 * p, 1e-12) AS w FROM {t03_sample_with_replacement} t JOIN {prob} p ON t.item = p.item")
 query("a15_importance_weights", "SELECT item, round(w, 6) AS w FROM {weighted}")
 query("a16_weight_clamp", "SELECT item, round(least(least(w, q), 4 * m), 6) AS w FROM {weighted} CROSS JOIN (SELECT PCT(w, 0.999) AS q, avg(w / t) AS m FROM {weighted} CROSS JOIN (SELECT sum(w * p) AS t FROM {weighted}) z) c")
-query("t04_sh_coreset", "SELECT c.item, w.w, round(s_scene * w.w, 9) AS scaled FROM {a16_weight_clamp} w JOIN {sens} c ON c.item = w.item")
 query("t05_duplicates_coreset", "SELECT j, item FROM {drawn}")
 query("t06_uniform_baseline", "SELECT item, 1e0 / n AS p FROM {sens} CROSS JOIN (SELECT count(*) AS n FROM {sens}) c")
-query("t07_all_coresets", """SELECT g, item FROM (SELECT g, item, row_number() OVER (PARTITION BY g ORDER BY s DESC, item) AS rk FROM
-  (SELECT 'per_pixel_l1_max' AS g, item, sens_max AS s FROM {a02_pixel_l1} UNION ALL SELECT 'per_pixel_l2_max', item, sens_max FROM {a02_pixel_l2} UNION ALL SELECT 'per_image_l1_max', item, sens_max FROM {a04_image_l1} UNION ALL SELECT 'per_image_l2_max', item, sens_max FROM {a04_image_l2}
-   UNION ALL SELECT 'per_pixel_l1_mean', item, sens_mean FROM {a02_pixel_l1} UNION ALL SELECT 'per_image_l1_mean', item, sens_mean FROM {a04_image_l1} UNION ALL SELECT 'per_batch_l1_max', item, sens_max FROM {a05_per_batch} UNION ALL SELECT 'per_scene_l1_max', item, sens FROM {a06_per_scene}) u) r WHERE rk <= 200""")
 query("t08_size_sweep", "SELECT size, count(*) AS kept, round(sum(s_image), 6) AS mass FROM {by_image} r CROSS JOIN (SELECT 100 * j AS size FROM (SELECT 1 AS one) o, SERIES<1;10> AS s(j)) z WHERE rk <= size GROUP BY size")
 numbered("by_chance", "u_item", "u, item")
 query("t09_random_subsample", "SELECT item FROM {by_chance} WHERE rk <= 120")
@@ -60,4 +56,3 @@ query("a29_mass_subsample", "SELECT j, round(hi, 9) AS mass FROM (SELECT hi, CAS
 query("a30_tail_log_histogram", "SELECT CAST(floor(16 * log10(p)) AS BIGINT) AS bin, count(*) AS n FROM {prob} WHERE p > 0 GROUP BY floor(16 * log10(p))")
 query("a31_draw_calibration", "SELECT p.item, coalesce(draws, 0) AS observed, round(500 * p, 6) AS expected, round(1.96e0 * sqrt(500 * p * (1 - p)), 6) AS band FROM {prob} p LEFT JOIN {t03_sample_with_replacement} t ON p.item = t.item")
 query("a45_nonzero_finite", "SELECT count_if(s_image <> 0) AS nonzero, count_if(NOT isnan(s_image)) AS finite, count(*) AS n FROM {sens}")
-query("p39_name_grammar", "SELECT DISTINCT concat(granularity, '_', norm, '_', reduce, '.pt') AS name FROM (SELECT CASE n_regionkey WHEN 0 THEN 'per_pixel' WHEN 1 THEN 'per_tile' WHEN 2 THEN 'per_image' WHEN 3 THEN 'per_batch' ELSE 'per_scene' END AS granularity, CASE n_nationkey % 2 WHEN 0 THEN 'l1' ELSE 'l2' END AS norm, CASE n_nationkey % 3 WHEN 0 THEN 'max' ELSE 'mean' END AS reduce FROM {nation}) x")

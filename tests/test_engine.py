@@ -97,7 +97,7 @@ def test_camera_dialects(spark, tmp_path):
     pose = {"R": [[1, 0, 0], [0, 1, 0], [0, 0, 1]], "T": [1, 2, 3]}
     a, b = tmp_path / "a.json", tmp_path / "b.json"
     a.write_text(json.dumps({"w": 64, "h": 48, "frames": [{"FoVx": 60, "FoVy": 60, **pose}, {"K": [[50, 0, 32], [0, 50, 24], [0, 0, 1]], **pose}]}))
-    b.write_text(json.dumps([{"width": 10, "height": 10, "fx": 5, "quaternion": [0, 0, 0, 1], "position": [1, 1, 1]}]))
+    b.write_text(json.dumps([{"width": 10, "height": 10, "fx": 5, "fy": 5, "quaternion": [0, 0, 0, 1], "position": [1, 1, 1]}]))
     got = cameras.load_cameras(spark, [str(a), str(b)]).orderBy("cam_ord").collect()
     assert len(got) == 3 and abs(got[0]["fx"] - 32 / math.tan(math.radians(30))) < 1e-9 and got[1]["fx"] == 50
     assert [got[0][c] for c in ("cx", "cy", "cz")] == [-1, -2, -3] and got[2]["w2c"][3] == -1
