@@ -135,3 +135,14 @@ stage("g_weights", "SELECT gid, draws, least(least(w, q), 4 * m) AS w FROM {g_ra
 stage("reweighted", "SELECT g.gid, w, draws, x, y, z, logit, " + ", ".join(f"ls{k}" for k in range(3)) + ", " + ", ".join(f"q{k}" for k in range(4)) + ", " + ", ".join(f"w * dc{k} AS dc{k}" for k in range(3)) + ", " + ", ".join(f"w * sh{k} AS sh{k}" for k in range(45)) + " FROM {gauss} g JOIN {g_weights} w ON g.gid = w.gid", cut=True)
 query("t04_sh_coreset", "SELECT gid, draws, round(w, 6) AS w, " + ", ".join(f"round(dc{k}, 6) AS dc{k}" for k in range(3)) + ", round(" + " + ".join(f"abs(sh{k})" for k in range(45)) + ", 5) AS rest FROM {reweighted}")
 query("p30_colour_reweight", "SELECT gid, round(w, 6) AS w, " + ", ".join(f"round(sh{k}, 6) AS sh{k}" for k in (0, 14, 15, 29, 30, 44)) + " FROM {reweighted}")
+
+# Projection of everything before a camera, as one camera at a time does it, and what its ellipses of three sigmas cover.
+stage("front", f"""SELECT gid, cam, cx, cy, cz, 1 / (1 + exp(-logit)) AS alpha, rx, ry, rz, ux, uy, uz, fx, fy, fz, {FOCAL} / (cz + 1e-8) AS j0, -{FOCAL} * least({_LIM}, greatest(-{_LIM}, cx / (cz + 1e-8))) / (cz + 1e-8) AS j1,
+  -{FOCAL} * least({_LIM}, greatest(-{_LIM}, cy / (cz + 1e-8))) / (cz + 1e-8) AS j2, {FOCAL} * cx / (cz + 1e-8) + 32 AS u, {FOCAL} * cy / (cz + 1e-8) + 32 AS v FROM {{seen_by}} WHERE cz > 0""", cut=True)
+stage("front_rows", "SELECT gid, cam, cz, alpha, u, v, " + ", ".join(f"j0 * {a}{c} + {j} * f{c} AS {m}{c}" for m, a, j in (("a", "r", "j1"), ("b", "u", "j2")) for c in "xyz") + " FROM {front}")
+stage("projected", f"SELECT r.gid, r.cam, r.cz, r.alpha, r.u, r.v, greatest(0.5e0, sqrt({_Q('a', 'a')})) AS sx, greatest(0.5e0, sqrt({_Q('b', 'b')})) AS sy FROM {{front_rows}} r JOIN {{cov}} c ON r.gid = c.gid", cut=True)
+query("p50_single_projection", "SELECT gid, cam, round(u, 5) AS u, round(v, 5) AS v, round(cz, 7) AS z, round(sx, 5) AS sx, round(sy, 5) AS sy FROM {projected}")
+_IN = "u + 3 * sx >= 0 AND u - 3 * sx <= 63 AND v + 3 * sy >= 0 AND v - 3 * sy <= 63"
+query("f11_sigma_in_frame", f"SELECT gid, count(*) AS cameras FROM {{projected}} WHERE {_IN} GROUP BY gid")
+query("j12_camera_coverage", f"SELECT cam, count(*) AS n, round(sum(alpha), 6) AS mass FROM {{projected}} WHERE {_IN} GROUP BY cam")
+query("a37_pixel_coverage", "SELECT round(sum(CASE WHEN f.gid IS NULL THEN 0e0 ELSE a END) / (sum(a) + 1e-12), 8) AS weighted, round(avg(CASE WHEN f.gid IS NULL THEN 0e0 ELSE 1e0 END), 8) AS unweighted FROM (SELECT gid, 1 / (1 + exp(-logit)) AS a FROM {gauss}) g LEFT JOIN {f11_sigma_in_frame} f ON g.gid = f.gid")

@@ -7,9 +7,10 @@ import dense
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from siftgauge.operators import ranking, selection, voxels
-from siftgauge.plans import catalog, queries
+from siftgauge.plans import catalog, classify, queries
 from siftgauge.sources import cameras, ply
 
 SF = "/root/testdata/sf0.001"
@@ -119,7 +120,67 @@ def test_voxels(spark):
 
 
 def test_selection(spark):
-    line = spark.createDataFrame([(k, float(k), 0.0, 0.0) for k in range(10)], "id long, x double, y double, z double")
-    assert [r["id"] for r in selection.farthest_points(line, 2).orderBy("rank").collect()] == [0, 9]
-    kept = sorted(r["id"] for r in selection.poisson_discs(line, 3.0).collect())
-    assert all(b - a >= 3 for a, b in zip(kept, kept[1:]))
+    rng = np.random.default_rng(4)
+    xyz = rng.random((300, 3)).round(3)
+    xyz[50] = xyz[51]
+    points = spark.createDataFrame([(k, *p) for k, p in enumerate(xyz.tolist())], "id long, x double, y double, z double").repartition(4)
+    order, left = [0], ((xyz - xyz[0]) ** 2).sum(1)
+    while len(order) < 40:
+        order.append(int(left.argmax()))
+        left = np.minimum(left, ((xyz - xyz[order[-1]]) ** 2).sum(1))
+    for candidates in (5, 4096):
+        assert [r["id"] for r in selection.farthest_points(points, 40, candidates).orderBy("rank").collect()] == order
+    kept = []
+    for k in range(300):
+        if all(((xyz[j] - xyz[k]) ** 2).sum() >= 0.2**2 for j in kept):
+            kept.append(k)
+    assert sorted(r["id"] for r in selection.poisson_discs(points, 0.2, F.col("id")).collect()) == kept
+    empty = points.limit(0)
+    assert selection.farthest_points(empty, 3).count() == 0 and selection.poisson_discs(empty, 1.0).count() == 0
+
+
+def test_greedy_cover(spark):
+    masks = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 3), (2, 4), (3, 1), (3, 2)], "cand long, item long")
+    weights = spark.createDataFrame([(1, 1.0), (2, 1.0), (3, 1.0), (4, 0.5)], "item long, w double")
+    assert [(r["cand"], r["gain"]) for r in selection.greedy_cover(masks, weights, 5).orderBy("round").collect()] == [(1, 3.0), (2, 0.5)]
+    poses = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 0, 0, 0), (2, 9.0, 0.0, 0.0, 0.0, 1.0, 0.0, 1, 1, 1), (3, 0.0, 0.1, 0.0, 1.0, 0.0, 0.0, 0, 0, 0)], "cand long, ex double, ey double, ez double, fx double, fy double, fz double, target long, dir_bin long, dist_bin long")
+    got = selection.greedy_cover(masks, weights, 3, poses, 0.5).orderBy("round").collect()
+    # The last one is near (0.8), looks the same way (1) and sees 2 of 3 items in common, above the bound by 2/3 - 0.6.
+    want = [3.0 + 1.5, 0.5 + 1.5, -0.7 * (0.8 + 1 + 2 / 3 - 0.6) + 0.8 / 2 + 0.45 / 2 + 0.25 / 2]
+    assert [r["cand"] for r in got] == [1, 2, 3] and all(abs(r["score"] - w) < 1e-5 for r, w in zip(got, want))
+
+
+def test_classifier_equals_plain_arrays(spark, duck, gaussians):
+    scenes = np.array([r[0] for r in duck.execute("SELECT label FROM embeddings ORDER BY vec_id").fetchall()])
+    both = {("default", r["scene"]): (r["label"], r["p_outdoor"]) for r in catalog.build(spark, SF, "p43_scene_classifier").collect()}
+    both |= {(preset, scene): (label, p) for preset, scene, label, p, _ in duck.execute(queries.ORACLES["f15_presets"]).fetchall()}
+    assert len(both) == 90
+    for (name, scene), (label, p) in both.items():
+        thresholds = classify.parameters() if name == "default" else classify.parameters("wide", io_fallback="force", io_uncertain_band=0.02) if name == "given" else classify.parameters(name)
+        m = scenes == scene
+        want = dense.classify(gaussians["xyz"][m], gaussians["dc"][m], gaussians["alpha"][m], thresholds)
+        assert want[0] == label and abs(want[1] - p) < 1e-6
+
+
+def test_presets_give_way_to_what_is_given():
+    assert classify.parameters("tight", open_bins=7)["open_bins"] == 7 and classify.parameters("tight", open_bins=None)["open_bins"] == 240 and classify.parameters()["open_bins"] == 200
+    with pytest.raises(ValueError):
+        classify.parameters(no_such=1)
+
+
+def test_text_and_foreign_point_clouds(spark, tmp_path):
+    spark.dataSource.register(ply.PlyDataSource)
+    names = [*ply.COLUMNS[:4], "f_dc_0", "f_dc_1", "f_dc_2", "f_rest_0", "f_rest_1", "f_rest_2", *ply.COLUMNS[7:]]
+    values = [[k + j / 8 for j in range(len(names))] for k in range(3)]
+    head = "".join(f"property float {n}\n" for n in names)
+    (tmp_path / "t.ply").write_text(f"ply\nformat ascii 1.0\nelement vertex 3\n{head}end_header\n" + "".join(" ".join(map(str, v)) + "\n" for v in values))
+    got = spark.read.format("ply").option("path", str(tmp_path / "t.ply")).load().orderBy("gaussian_id").collect()
+    assert [r["x"] for r in got] == [0, 1, 2] and got[1]["f_rest"][0] == values[1][7] and got[1]["f_rest"][15] == values[1][8] and got[1]["f_rest"][30] == values[1][9]
+    out = f"file://{tmp_path}/model"
+    frame = spark.createDataFrame([r.asDict() for r in got], schema=ply.SCHEMA).coalesce(1)
+    frame.write.format("ply").mode("append").save(out)
+    with pytest.raises(Exception):
+        frame.write.format("ply").mode("append").save(out)
+    frame.write.format("ply").mode("overwrite").save(out)
+    again = spark.read.format("ply").option("path", f"{out}/part-00000.ply").load().orderBy("gaussian_id").collect()
+    assert [r["opacity"] for r in again] == [r["opacity"] for r in got] and again[2]["f_rest"] == got[2]["f_rest"]
