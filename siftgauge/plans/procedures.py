@@ -9,6 +9,7 @@ from ..operators import selection, voxels
 from ..sources import ply
 from ..streaming import incremental
 from . import catalog
+from .recursive import CHANCE
 from .store import cut, new_folder
 
 SIZE = 24
@@ -55,7 +56,7 @@ def t10_farthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def t11_poisson_discs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return selection.poisson_discs(_points(spark, sf_dir), 0.8)
+    return selection.poisson_discs(_points(spark, sf_dir), 0.8, F.expr(CHANCE))
 
 
 def _poses(spark: SparkSession, sf_dir: str, made: dict) -> DataFrame:

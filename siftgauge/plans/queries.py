@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import partial
 
-from . import catalog, classify, files, geometry, procedures, report, scene, sensitivity  # noqa: F401
+from . import catalog, classify, files, geometry, procedures, recursive, report, scene, sensitivity  # noqa: F401
 
 
 def _run(name, spark, sf_dir):
@@ -12,4 +12,4 @@ def _run(name, spark, sf_dir):
 
 
 QUERIES = {name: partial(_run, name) for name in catalog.QUERIES} | procedures.QUERIES | files.QUERIES
-ORACLES = {name: catalog.sql(name) for name in catalog.QUERIES} | procedures.ORACLES | files.ORACLES
+ORACLES = {name: catalog.sql(name) for name in catalog.QUERIES} | procedures.ORACLES | files.ORACLES | recursive.ORACLES
