@@ -9,7 +9,6 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
-import pyarrow as pa
 import pytest
 
 from siftgauge.llm import mph, op1_suffix_dedup, op2_quality, op3_warc_zip, op4_token_store, op5_language, op6_jaccard_join, op7_sharding, op8_html, op9_packing, op10_decontaminate, suffixes
