@@ -31,7 +31,9 @@ from . import text as tx
 from .store import Tables
 
 #: Bytes of text in a shard of the index (or one document).
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 256 << 10
+#: Shards that a task holds at once.
+SHARDS_HELD = 16
 INDEX = "shard long, ids array<bigint>, keys array<bigint>, offsets binary, terms binary, counts binary, positions binary"
 
 
@@ -197,7 +199,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, width: int, slop: int, block_w
     index = write_index(rows, tables)
     found = None
     for items in _blocks(benchmark, block_words, item_col, item_text_col):
-        part = tables.write(search(index, phrases_of(items, width), slop))
+        part = tables.write(search(index, phrases_of(items, width), slop), SHARDS_HELD)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "shard long, place int, items array<string>, runs binary")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that a task holds of a table it writes.
 BLOCK_BYTES = 16 << 20
-_TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_SETTINGS = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,14 +37,17 @@ def new_folder(spark: SparkSession, kind: str) -> str:
 
 
 @contextmanager
-def _tidy(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the statements inside go when each statement has ended."""
-    was = spark.conf.get(_TIDY, "false")
-    spark.conf.set(_TIDY, "true")
+def _set(spark: SparkSession, **values: object) -> Iterator[None]:
+    """Session settings for the statements inside, by the last part of their names."""
+    names = {k: next(n for n in _SETTINGS if n.endswith(k)) for k in values}
+    was = {n: spark.conf.get(n) for n in names.values()}
+    for k, n in names.items():
+        spark.conf.set(n, str(values[k]).lower())
     try:
         yield
     finally:
-        spark.conf.set(_TIDY, was)
+        for n, v in was.items():
+            spark.conf.set(n, v)
 
 
 class Tables:
@@ -57,11 +60,14 @@ class Tables:
     def __init__(self, spark: SparkSession, kind: str) -> None:
         self.spark, self.folder, self.made = spark, new_folder(spark, kind), 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def write(self, df: DataFrame, rows_at_once: int | None = None) -> DataFrame:
+        """`rows_at_once`: how many rows a task holds of what `df` reads, where rows are large."""
         self.made += 1
         path = f"{self.folder}/{self.made:04d}"
-        with _tidy(self.spark):
-            df.write.option("parquet.block.size", BLOCK_BYTES).parquet(path)
+        held = {} if rows_at_once is None else {"columnarReaderBatchSize": rows_at_once, "maxRecordsPerBatch": rows_at_once}
+        # Shuffle files of the statement go when it has ended.
+        with _set(self.spark, **{"fileCleanup.enabled": True}, **held):
+            df.write.option("parquet.block.size", BLOCK_BYTES).option("parquet.page.size.row.check.min", 16).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._siftgauge_path = path
         return out
