@@ -180,6 +180,18 @@ def test_presets_give_way_to_what_is_given():
         classify.parameters(no_such=1)
 
 
+def test_metrics_csv_rounds_once(spark, tmp_path):
+    """Values that 8 digits would lift to a tie of 6; a tiny one is written with an exponent."""
+    values = [("A", 1, 53644.2674996, 0.0522330098, 0.0421874996), ("A", 2, 1234.5675004, 0.0522330092, 0.0000004996), ("R", 1, 0.0004996, 1.0, 0.0)]
+    made = [v for v in values for _ in range(2)]  # two rows of a group keep all three cells
+    spark.createDataFrame(made, "l_returnflag string, l_suppkey long, l_extendedprice double, l_discount double, l_tax double").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted(tuple(r) for r in queries.QUERIES["s12_metrics_csv"](spark, str(tmp_path)).collect())
+    assert got == [("A_1.png", 53.644267, 0.473883, 0.042187), ("A_2.png", 1.234568, 0.473883, 0.0), ("R_1.png", 0.0, 0.0, 0.0)]
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(con.execute(queries.ORACLES["s12_metrics_csv"]).fetchall())
+
+
 def test_text_and_foreign_point_clouds(spark, tmp_path):
     spark.dataSource.register(ply.PlyDataSource)
     names = [*ply.COLUMNS[:4], "f_dc_0", "f_dc_1", "f_dc_2", "f_rest_0", "f_rest_1", "f_rest_2", *ply.COLUMNS[7:]]
