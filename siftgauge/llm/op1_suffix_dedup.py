@@ -85,7 +85,7 @@ def runs_of(flags: np.ndarray) -> np.ndarray:
 def _contexts(rows: DataFrame, width: int, gram: int) -> DataFrame:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tx.row_chunks(whole, "t"):
+            for batch in tx.row_chunks(whole, "t", tx.PASS_BYTES):
                 data, offsets = tx.joined(batch.column("t"))
                 doc, h, c, first, count = anchors(data, offsets, width, gram)
                 at = (first << 16) | count
@@ -209,7 +209,7 @@ def _removed(rows: DataFrame, runs: DataFrame, width: int, with_text: bool) -> D
     schema = StructType([*joined.select(*names).schema.fields, *_MEASURES[: 5 if with_text else 4]])
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in tx.row_chunks(whole, "t")):
             out: list[list] = [[] for _ in range(5 if with_text else 4)]
             for text, of in zip(batch.column("t"), batch.column("of"), strict=True):
                 raw = text.as_py()

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import text as tx
 from .components import components
-from .store import Tables
+from .store import Tables, small_batches
 
 WIDTH, PERCENT = 4, 85
 #: Documents beyond which a shingle is frequent, and how many of the most frequent are known to all tasks (8 bytes each).
@@ -96,14 +96,15 @@ def _frequent(rows: DataFrame, width: int, percent: int) -> np.ndarray:
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tx.row_chunks(whole, "t"):
+            for batch in tx.row_chunks(whole, "t", tx.PASS_BYTES):
                 sets, offsets = shingle_sets(batch.column("t"), width)
                 n = np.diff(offsets)
                 row, k = tx.expand(np.where(n > 0, n - needed(n, percent) + 1, 0))
                 yield pa.RecordBatch.from_arrays([pa.array(sets[offsets[row] + k].view(np.int64))], ["s"])
 
     counted = rows.select("t").mapInArrow(split, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > FREQUENT_FROM)
-    top = counted.orderBy(F.col("k").desc(), "s").limit(MOST_FREQUENT).select("s").toArrow()
+    with small_batches(rows.sparkSession):
+        top = counted.orderBy(F.col("k").desc(), "s").limit(MOST_FREQUENT).select("s").toArrow()
     return top.column("s").to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
@@ -121,7 +122,7 @@ def signatures(rows: DataFrame, width: int, percent: int) -> DataFrame:
         order = np.argsort(hot)
         known = hot[order]
         for whole in batches:
-            for batch in tx.row_chunks(whole, "t"):
+            for batch in tx.row_chunks(whole, "t", tx.PASS_BYTES):
                 sets, offsets = shingle_sets(batch.column("t"), width)
                 n = np.diff(offsets)
                 key = sets >> np.uint64(1)
@@ -273,7 +274,7 @@ def _exact(pairs: DataFrame, rows: DataFrame, sets: DataFrame, width: int, perce
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in tx.row_chunks(whole, "t"):
+            for batch in tx.row_chunks(whole, "t", tx.PASS_BYTES):
                 own, offsets = shingle_sets(batch.column("t"), width)
                 sums = np.r_[np.uint64(0), np.cumsum(tx.mix(own ^ np.uint64(0x1234567)))]
                 found = tx.mix(sums[offsets[1:]] - sums[offsets[:-1]]).view(np.int64)

@@ -69,7 +69,7 @@ def token_lengths(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
 
         encoder = encoder_of(tokenizer_path)
         for whole in batches:
-            for batch in tx.row_chunks(whole, "t", 4 << 20):
+            for batch in tx.row_chunks(whole, "t", 1 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column("i"), pa.array(encoder.lengths(batch.column("t")) + 1)], ["doc_id", "n_tokens"])
 
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").cast("string").alias("t")).mapInArrow(count, "doc_id long, n_tokens long")

@@ -7,13 +7,15 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes that a task holds of a table it writes.
 BLOCK_BYTES = 16 << 20
-_SETTINGS = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch")
+#: Bytes that a task and its Python worker pass each other at once.
+BATCH_BYTES = 4 << 20
+_SETTINGS = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.parquet.columnarReaderBatchSize", "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,6 +52,11 @@ def _set(spark: SparkSession, **values: object) -> Iterator[None]:
             spark.conf.set(n, v)
 
 
+def small_batches(spark: SparkSession) -> AbstractContextManager[None]:
+    """Statements inside pass texts to Python by BATCH_BYTES; `Tables.write` does so by itself."""
+    return _set(spark, maxBytesPerBatch=BATCH_BYTES)
+
+
 class Tables:
     """Tables of one run, each written once as Parquet; what is lost with an executor is read again from there.
 
@@ -66,7 +73,7 @@ class Tables:
         path = f"{self.folder}/{self.made:04d}"
         held = {} if rows_at_once is None else {"columnarReaderBatchSize": rows_at_once, "maxRecordsPerBatch": rows_at_once}
         # Shuffle files of the statement go when it has ended.
-        with _set(self.spark, **{"fileCleanup.enabled": True}, **held):
+        with _set(self.spark, **{"fileCleanup.enabled": True}, maxBytesPerBatch=BATCH_BYTES, **held):
             df.write.option("parquet.block.size", BLOCK_BYTES).option("parquet.page.size.row.check.min", 16).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._siftgauge_path = path

@@ -14,6 +14,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one numpy pass handles; a single longer document makes its own pass.
 CHUNK_BYTES = 2 << 20
+#: The same for passes that make some twenty arrays of a word for each byte; small ones also stay in the processor's cache.
+PASS_BYTES = 256 << 10
 
 _MULT = np.uint64(0x9E3779B97F4A7C15 | 5)
 _INV = np.uint64(pow(int(_MULT), -1, 1 << 64))
@@ -53,7 +55,7 @@ class _Powers:
 
     def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.up) < n:
-            size = max(n, CHUNK_BYTES + 4096)
+            size = ((n >> 16) + 2) << 16
             up, down = np.full(size, _MULT), np.full(size, _INV)
             up[0] = down[0] = 1
             self.up, self.down = np.multiply.accumulate(up), np.multiply.accumulate(down)

@@ -1,10 +1,13 @@
 """Nulls, empties, ties, repeats, long texts, empty tables and clashing column names, operator by operator."""
 
 import hashlib
+import tracemalloc
 import zlib
 from collections import Counter
 
-from siftgauge.llm import op1_suffix_dedup, op3_warc_zip, op4_token_store, op6_jaccard_join, op7_sharding, op9_packing
+import pyarrow as pa
+
+from siftgauge.llm import op1_suffix_dedup, op3_warc_zip, op4_token_store, op6_jaccard_join, op7_sharding, op9_packing, store
 
 CLASH = "doc_id long, text string, r string, t string, h int, c int, at int, runs string, row string, node string, n string, token string, component string, i string, key string, shard string, base string, g string, upto string, slot string, n_tokens string, _block string"
 EXTRA = ("x",) * 2 + (1,) * 3 + ("x",) * 15
@@ -77,3 +80,28 @@ def test_packed_rows(spark):
     rows = [(None, None), (1, ""), (1, ""), (2, "a b c d"), (3, "word " * 100_000)]
     got = op9_packing.pack_documents(table(spark, rows), public_tokenizers.path("word_bpe_49k.json"), buckets=2).collect()
     assert sorted(r["n_tokens"] for r in got)[:3] == [1, 1, 1] and len(got) == 5 and max(r["padded_length"] for r in got) > 100_000
+
+
+def test_texts_meet_python_in_small_pieces(spark):
+    """A worker never holds many texts, nor many arrays of a word for each of their bytes."""
+    texts = [" ".join(f"{k}w{j}" for j in range(20_000)) for k in range(60)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "r long, t string").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["n"])
+
+    held = [r["n"] for r in store.Tables(spark, "pieces").write(rows.mapInArrow(sizes, "n long")).collect()]
+    assert sum(held) > sum(map(len, texts)) and max(held) < 5 << 20
+
+    class Rows:
+        def mapInArrow(self, f, schema):
+            return f
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(30)), pa.array(texts[:30])], ["r", "t"])
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in op1_suffix_dedup._contexts(Rows(), 200, 32)(iter([batch]))) > 10_000
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
