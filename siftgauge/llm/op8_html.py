@@ -6,7 +6,9 @@
    pages of page number * count, which aggregate partially, so that no host is ever in one task.  Tokens with equal
    vectors that at least half of the host's pages have, at least two pages and two tokens, form an equivalence class.
 3. A class is valid if on every page its tokens come in one order, once in each repetition.  Two valid classes nest if on
-   every page the one stands in the same gap between two tokens of the other; of two that do neither, the smaller goes.
+   every page the one stands in the same gap between two tokens of the other.  Where classes do neither, roles are told
+   apart by position: if all tokens of the classes that cross come in one order on the pages, the n-th time of a token
+   is a role of its own, and they are one class.  Of classes that still cross, the smaller goes.
    What is left, each class below the gap of the innermost class around it, is the host's template.
 4. The gaps of the template are slots, and what no class has stands in them.  A page's text is what its slots hold
    there, less the slots that their tags show to be menus, headers, footers, sidebars, notices, adverts, forms, scripts,
@@ -163,16 +165,30 @@ def gap_of(inner: list[int], size: int, outer: list[int], outer_size: int) -> in
     return gaps.pop() if len(gaps) == 1 else -1
 
 
+def crossing(gaps: dict[tuple[int, int], int]) -> list[list[int]]:
+    """Groups of classes of a page that cross, directly or by others of the group."""
+    group: dict[int, list[int]] = {}
+    for (a, b), g in gaps.items():
+        if a < b and g < 0 and gaps[b, a] < 0 and (x := group.setdefault(a, [a])) is not (y := group.setdefault(b, [b])):
+            x += y
+            for c in y:
+                group[c] = x
+    return [sorted(x) for c, x in group.items() if c == min(x)]
+
+
 def nest(classes: dict[int, list[int]], gaps: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int, int, int]]:
     """(token, class, place in it, its size, parent class, gap) of the largest set of classes that nest.
 
-    `gaps`[inner, outer] is the gap that all pages agree on, or -1; classes that share no page are not in it.
+    `gaps`[inner, outer] is the gap that all pages agree on, or -1; classes that share no page are not in it.  Classes
+    made of others have their tokens, so they are not taken with them.
     """
     valid: list[int] = []
+    taken: set[int] = set()
     fits = lambda a, b: (a, b) not in gaps or gaps[a, b] >= 0 or gaps[b, a] >= 0
     for c in sorted(classes, key=lambda c: (-len(classes[c]), c)):
-        if all(fits(c, v) for v in valid):
+        if taken.isdisjoint(classes[c]) and all(fits(c, v) for v in valid):
             valid.append(c)
+            taken.update(classes[c])
     around = {c: [v for v in valid if v != c and gaps.get((c, v), 0) > 0] for c in valid}
     out = []
     for c in valid:
@@ -181,12 +197,17 @@ def nest(classes: dict[int, list[int]], gaps: dict[tuple[int, int], int]) -> lis
     return out
 
 
-def extract(page: str, template: dict[int, tuple[int, int, int, int, int]]) -> str:
-    """The text of a page; `template`: token -> (class, place in it, size of the class, parent class, gap of the parent)."""
+def extract(page: str, template: dict[int, tuple[int, list[int], int, int, int]]) -> str:
+    """The text of a page; `template`: token -> (class, places in it, size of the class, parent class, gap of the parent)."""
     parsed = events(page)
     has_main = any(e.inside for e in parsed) or any(e.kind == "open" and e.name in ("article", "main") for e in parsed)
     keys = [e.key() for e in parsed] if template else [None] * len(parsed)
-    fixed = [template.get(k) for k in keys]
+    fixed: list[tuple[int, int, int] | None] = []
+    times: Counter[int] = Counter()
+    for k in keys:
+        t = template.get(k)
+        fixed.append(t and (t[0], t[1][times[k] % len(t[1])], t[2]))
+        times[k] += 1
     found: dict[int, list[int]] = {}
     for k, t in zip(keys, fixed, strict=True):
         if t:
@@ -275,6 +296,7 @@ def templates(pages: DataFrame, tables: Tables) -> DataFrame:
         for batch in batches:
             orders: dict[tuple, tuple] = {}
             gaps: dict[tuple, list[int]] = {}
+            mixed: dict[tuple, set] = {}
             for host, page, of in zip(batch.column("h").to_pylist(), batch.column("html").to_pylist(), batch.column("tokens"), strict=True):
                 known = held.of(host, of)
                 places: dict[int, list[int]] = {}
@@ -290,12 +312,24 @@ def templates(pages: DataFrame, tables: Tables) -> DataFrame:
                     orders[host, c, tuple(order or ())] = (host, c)
                     if order:
                         sound[c] = len(order)
-                for a, size in sound.items():
-                    for b, outer in sound.items():
-                        if a != b:
-                            g = gap_of(places[a], size, places[b], outer)
-                            both = gaps.setdefault((host, a, b), [g, g])
-                            both[0], both[1] = min(both[0], g), max(both[1], g)
+                here = {(a, b): gap_of(places[a], size, places[b], outer) for a, size in sound.items() for b, outer in sound.items() if a != b}
+                made = []
+                for group in crossing(here):
+                    both = sorted((k, key) for c in group for k, key in zip(places[c], seen[c], strict=True))
+                    c = xxhash.xxh3_64_intdigest(repr(group)) - (1 << 63)
+                    order = tuple(key for _, key in both)
+                    # Two orders show that pages do not agree.
+                    if len(kinds := mixed.setdefault((host, c), set())) < 2 and order not in kinds:
+                        kinds.add(order)
+                        orders[host, c, order] = (host, c)
+                    places[c], sound[c] = [k for k, _ in both], len(both)
+                    made.append((c, group))
+                for c, group in made:
+                    for b in sound.keys() - set(group) - {c}:
+                        here[c, b], here[b, c] = gap_of(places[c], sound[c], places[b], sound[b]), gap_of(places[b], sound[b], places[c], sound[c])
+                for (a, b), g in here.items():
+                    both = gaps.setdefault((host, a, b), [g, g])
+                    both[0], both[1] = min(both[0], g), max(both[1], g)
             rows = [(h, c, c, 0, 0, list(order)) for h, c, order in orders] + [(h, a, b, *g, []) for (h, a, b), g in gaps.items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (*[pa.int64()] * 3, pa.int32(), pa.int32(), pa.list_(pa.int64())), strict=True)], ["h", "a", "b", "low", "high", "tokens"])
@@ -325,8 +359,14 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     found = templates(rows, Tables(pages.sparkSession, "templates"))
     joined = _with_template(rows.drop("mark"), found, "template").select("page_id", "url", "html", "h", "template")
 
+    def by_token(template: list[dict]) -> dict[int, tuple]:
+        out: dict[int, tuple] = {}
+        for t in template:
+            out.setdefault(t["token"], (t["class"], [], t["size"], t["parent"], t["gap"]))[1].append(t["place"])
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _Held(lambda template: {t["token"]: (t["class"], t["place"], t["size"], t["parent"], t["gap"]) for t in template})
+        held = _Held(by_token)
         for batch in batches:
             texts = [extract(page or "", held.of(h, template)) for page, h, template in zip(batch.column("html").to_pylist(), batch.column("h").to_pylist(), batch.column("template"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])

@@ -101,3 +101,15 @@ def test_work_is_linear(page):
 def test_every_tag_and_text_is_read_in_order():
     page = PAGE + "<p title='>'>x</p><p title=it's>y</p>"
     assert [t[1] for t in op.tokens(page) if t[0] == "open"] == [m.lower() for m in re.findall(r"<([a-zA-Z][a-z0-9]*)", page.replace("'</p>", ""))]
+
+
+def test_crossing_classes_are_told_apart_by_position(spark):
+    """Equal boxes of a fixed layout are no list: the notice in the first is template, what varies in the others is not."""
+    page = "<hr><div><p>Notice</p></div><div><p>story {k}</p></div><em>by</em><div><p>more {k}</p></div>"
+    got = texts(spark, [(k, "http://h/x", page.replace("{k}", str(k))) for k in range(5)])
+    assert got == {k: f"story {k}\nmore {k}" for k in range(5)}
+    # As many boxes as a page likes: they stay one class, and the pages do not agree on an order with it.
+    page = "<hr><div><p>Notice</p></div>"
+    got = texts(spark, [(k, "http://h/x", page + "".join(f"<div><p>own {k} {j}</p></div>" for j in range(k + 1))) for k in range(5)])
+    assert all(f"own {k} {j}" in got[k].split("\n") for k in range(5) for j in range(k + 1))
+    assert op.crossing({(1, 2): -1, (2, 1): -1, (2, 3): -1, (3, 2): -1, (1, 3): 1, (3, 1): -1, (4, 1): 0, (1, 4): 0}) == [[1, 2, 3]]
