@@ -24,8 +24,10 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
 class Stage:
     text: str
     cut: bool = False
-    #: Makes the stage in Spark from its one source, where the SQL text would put all rows into one task.
-    make: Callable[[DataFrame], DataFrame] | None = None
+    #: Makes the stage in Spark from its sources, where the SQL text would put all rows into one task or move too many.
+    make: Callable[..., DataFrame] | None = None
+    #: Sources of `make`, if they are not those that the text reads.
+    needs: tuple[str, ...] = ()
 
 
 STAGES: dict[str, Stage] = {}
@@ -33,8 +35,8 @@ STAGES: dict[str, Stage] = {}
 QUERIES: list[str] = []
 
 
-def stage(name: str, text: str, cut: bool = False) -> None:
-    STAGES[name] = Stage(text, cut)
+def stage(name: str, text: str, cut: bool = False, make: Callable[..., DataFrame] | None = None, needs: tuple[str, ...] = ()) -> None:
+    STAGES[name] = Stage(text, cut, make, needs)
 
 
 def query(name: str, text: str) -> None:
@@ -74,7 +76,7 @@ def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame
         if name in TABLES and name not in STAGES:
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         else:
-            sources = {x: build(spark, sf_dir, x, made) for x in reads(name)}
+            sources = {x: build(spark, sf_dir, x, made) for x in STAGES[name].needs or reads(name)}
             make = STAGES[name].make
             df = make(*sources.values()) if make else spark.sql(_translate(STAGES[name].text, True), **sources)
             made[name] = cut(df) if STAGES[name].cut else df

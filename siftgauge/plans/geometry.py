@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..operators.compositing import composite
 from .catalog import numbered, query, stage
 from .sensitivity import EPS
 
@@ -69,12 +70,15 @@ query("f01_frustum", "SELECT cam, count(*) AS visible FROM {rect} GROUP BY cam")
 query("j02_tile_pairs", "SELECT cam, tx, ty, count(*) AS n FROM {rect} r, SERIES<x0;x1 - 1> AS a(tx), SERIES<y0;y1 - 1> AS b(ty) GROUP BY cam, tx, ty")
 query("a12_tile_histogram", "SELECT n, count(*) AS tiles FROM {j02_tile_pairs} GROUP BY n")
 # Pixels of a splat's tiles inside the box that holds its 3-sigma ellipse, which no supported pixel is outside of.
+_BOX = f"""SELECT * FROM (SELECT q.*, CAST(greatest(x0 * {TILE}, floor(u - 3 * sqrt(sxx)) - 1) AS INT) AS l, CAST(least(x1 * {TILE} - 1, ceil(u + 3 * sqrt(sxx))) AS INT) AS r, CAST(greatest(y0 * {TILE}, floor(v - 3 * sqrt(syy)) - 1) AS INT) AS t, CAST(least(y1 * {TILE} - 1, ceil(v + 3 * sqrt(syy))) AS INT) AS b FROM {{rect}} q) w WHERE l <= r AND t <= b"""
 stage("pix", f"""SELECT gid, cam, batch, cz, c0, c1, c2, px, py, least(0.99e0, alpha * exp(-conic / 2)) AS a FROM (SELECT r.*, px, py, ia * (px - u) * (px - u) + 2 * ib * (px - u) * (py - v) + ic * (py - v) * (py - v) AS conic FROM
-  (SELECT * FROM (SELECT q.*, CAST(greatest(x0 * {TILE}, floor(u - 3 * sqrt(sxx)) - 1) AS INT) AS l, CAST(least(x1 * {TILE} - 1, ceil(u + 3 * sqrt(sxx))) AS INT) AS r, CAST(greatest(y0 * {TILE}, floor(v - 3 * sqrt(syy)) - 1) AS INT) AS t, CAST(least(y1 * {TILE} - 1, ceil(v + 3 * sqrt(syy))) AS INT) AS b FROM {{rect}} q) w WHERE l <= r AND t <= b) r,
+  ({_BOX}) r,
   SERIES<l;r> AS sx(px), SERIES<t;b> AS sy(py)) z WHERE conic <= 9 AND -conic / 2 >= ln(1e0 / 255) - ln(greatest(alpha, 1e-8))""")
 query("j03_pixel_grid", "SELECT cam, count(*) AS rows_, count(DISTINCT py * 64 + px) AS pixels FROM {pix} GROUP BY cam")
 query("f02_pixel_support", "SELECT gid, count(*) AS n, round(sum(a), 5) AS mass FROM {pix} GROUP BY gid")
-stage("comp", """SELECT gid, cam, batch, px, py, cz, a, t, a * t AS w, c0, c1, c2 FROM (SELECT p.*, coalesce(exp(sum(ln(1 - a)) OVER (PARTITION BY cam, px, py ORDER BY cz, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1e0) AS t FROM {pix} p) z WHERE t >= 1e-4""", cut=True)
+# The same rows from the splats of each tile, front to back: the pixels before the camera are never dealt out or sorted.
+stage("splats", f"SELECT gid, cam, batch, cz, c0, c1, c2, u, v, ia, ib, ic, alpha, ln(1e0 / 255) - ln(greatest(alpha, 1e-8)) AS faint, l, r, t, b, tx, ty FROM ({_BOX}) w, SERIES<floor(l / {TILE});floor(r / {TILE})> AS a(tx), SERIES<floor(t / {TILE});floor(b / {TILE})> AS c(ty)")
+stage("comp", """SELECT gid, cam, batch, px, py, cz, a, t, a * t AS w, c0, c1, c2 FROM (SELECT p.*, coalesce(exp(sum(ln(1 - a)) OVER (PARTITION BY cam, px, py ORDER BY cz, gid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), 1e0) AS t FROM {pix} p) z WHERE t >= 1e-4""", cut=True, make=lambda splats: composite(splats, TILE, 1e-4), needs=("splats",))
 query("w01_transmittance", "SELECT cam, px, py, round(min(t), 6) AS t_last FROM {comp} GROUP BY cam, px, py")
 query("w03_depth_sort", "SELECT cam, px, py, gid, row_number() OVER (PARTITION BY cam, px, py ORDER BY cz, gid) AS place FROM {comp}")
 query("f03_early_termination", "SELECT cam, count(*) AS active FROM {comp} GROUP BY cam")

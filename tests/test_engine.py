@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftgauge.operators import ranking, selection, voxels
+from siftgauge.operators import compositing, ranking, selection, voxels
 from siftgauge.plans import catalog, classify, queries
 from siftgauge.sources import cameras, ply
 
@@ -94,6 +94,61 @@ def test_colours_equal_dense_harmonics(spark, gaussians):
                 assert abs(r[f"c{c}_degree{degree}"] - max(0, 0.5 + coeffs[c, : len(basis)] @ basis)) < 1e-6
 
 
+def dealt(spark):
+    """Rows that all stages so far have written to shuffles."""
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+    none = gateway.new_array(gateway.jvm.double, 0)
+    found = store.stageList(None, False, False, none, gateway.jvm.java.util.ArrayList())
+    return sum(found.apply(k).shuffleWriteRecords() for k in range(found.size()))
+
+
+def test_compositing_deals_splats_not_pixels(spark, duck):
+    """All contributions of the stage's SQL, with fewer rows dealt out than a quarter of the supported pixels."""
+    made: dict = {}
+    catalog.build(spark, SF, "splats", made)
+    before = dealt(spark)
+    got = catalog.build(spark, SF, "comp", made).toPandas()
+    moved = dealt(spark) - before
+    assert 0 < moved < duck.execute(f"SELECT count(*) FROM ({catalog.sql('pix')}) p").fetchall()[0][0] / 4
+    want = duck.execute(catalog.sql("comp")).df()
+    got, want = (df.sort_values(["cam", "px", "py", "gid"]) for df in (got, want))
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    for c in want.columns:
+        assert np.abs(got[c].to_numpy() - want[c].to_numpy()).max() < 1e-9, c
+
+
+def test_compositing_of_a_tile_across_batches(spark):
+    """Opaque and faint splats, equal depths, boxes over part of a tile and a missing colour against plain loops."""
+    rng = np.random.default_rng(11)
+    made = []
+    for gid in range(700):
+        x0, y0 = rng.integers(0, 24, 2).tolist()
+        alpha = float(rng.choice([0.003, 0.2, 0.7, 1.0]))
+        made.append((gid, gid % 2, 0, float(rng.integers(1, 60)), None if gid == 5 else gid / 7, x0 + 4.3, y0 + 3.6, 0.3, 0.05, 0.2, alpha, math.log(1 / 255) - math.log(alpha), x0, min(31, x0 + 8), y0, min(31, y0 + 8)))
+    names = ["gid", "cam", "batch", "cz", "c0", "u", "v", "ia", "ib", "ic", "alpha", "faint", "l", "r", "t", "b"]
+    left, want = {}, {}
+    for s in sorted((dict(zip(names, m, strict=True)) for m in made), key=lambda s: (s["cam"], s["cz"], s["gid"])):
+        for px in range(s["l"], s["r"] + 1):
+            for py in range(s["t"], s["b"] + 1):
+                dx, dy = px - s["u"], py - s["v"]
+                conic = s["ia"] * dx * dx + 2 * s["ib"] * dx * dy + s["ic"] * dy * dy
+                t = left.get((s["cam"], px, py), 1.0)
+                if conic <= 9 and -conic / 2 >= s["faint"]:
+                    a = min(0.99, s["alpha"] * math.exp(-conic / 2))
+                    left[s["cam"], px, py] = t * (1 - a)
+                    if t >= 1e-4:
+                        want[s["gid"], px, py] = (a, t, a * t, s["c0"])
+    kinds = "gid long, cam int, batch int, cz double, c0 double, u double, v double, ia double, ib double, ic double, alpha double, faint double, l int, r int, t int, b int"
+    splats = spark.createDataFrame(made, kinds).selectExpr("*", "c0 AS c1", "c0 AS c2", "explode(sequence(l div 16, r div 16)) AS tx").selectExpr("*", "explode(sequence(t div 16, b div 16)) AS ty")
+    kept = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for size in ("7", kept):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+        got = {(r["gid"], r["px"], r["py"]): (r["a"], r["t"], r["w"], r["c0"]) for r in compositing.composite(splats, 16, 1e-4).collect()}
+        assert got.keys() == want.keys() and len(want) > 5000 and min(left.values()) < 1e-5
+        assert all(x[3] == y[3] and max(abs(a - b) for a, b in zip(x[:3], y[:3], strict=True)) < 1e-12 for x, y in ((got[k], want[k]) for k in want))
+    assert compositing.composite(splats.limit(0), 16, 1e-4).count() == 0
+
+
 def test_ranges_give_the_places_of_a_sort(spark):
     values = [(k, (k * 7919) % 101 / 101) for k in range(300)]
     df = spark.createDataFrame(values, "id long, p double").repartition(5)
