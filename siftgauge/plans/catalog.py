@@ -28,6 +28,8 @@ class Stage:
     make: Callable[..., DataFrame] | None = None
     #: Sources of `make`, if they are not those that the text reads.
     needs: tuple[str, ...] = ()
+    #: Column of its sources by which Spark deals their rows first, since a table may lie in one file that one task reads.
+    dealt: str | None = None
 
 
 STAGES: dict[str, Stage] = {}
@@ -35,8 +37,8 @@ STAGES: dict[str, Stage] = {}
 QUERIES: list[str] = []
 
 
-def stage(name: str, text: str, cut: bool = False, make: Callable[..., DataFrame] | None = None, needs: tuple[str, ...] = ()) -> None:
-    STAGES[name] = Stage(text, cut, make, needs)
+def stage(name: str, text: str, cut: bool = False, make: Callable[..., DataFrame] | None = None, needs: tuple[str, ...] = (), dealt: str | None = None) -> None:
+    STAGES[name] = Stage(text, cut, make, needs, dealt)
 
 
 def query(name: str, text: str) -> None:
@@ -77,6 +79,8 @@ def build(spark: SparkSession, sf_dir: str, name: str, made: dict[str, DataFrame
             made[name] = spark.read.parquet(f"{sf_dir}/{name}.parquet")
         else:
             sources = {x: build(spark, sf_dir, x, made) for x in STAGES[name].needs or reads(name)}
+            if STAGES[name].dealt:
+                sources = {x: df.repartition(STAGES[name].dealt) for x, df in sources.items()}
             make = STAGES[name].make
             df = make(*sources.values()) if make else spark.sql(_translate(STAGES[name].text, True), **sources)
             made[name] = cut(df) if STAGES[name].cut else df

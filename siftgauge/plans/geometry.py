@@ -9,7 +9,7 @@ from .sensitivity import EPS
 W, TILE, FOCAL = 64, 16, "(32e0 / tan(pi() / 6e0))"
 stage("gauss", "SELECT vec_id AS gid, label AS scene, " + ", ".join(f"8 * E<{k}> AS {c}" for k, c in enumerate("xyz")) + ", " + ", ".join(f"4 * E<{k + 3}> AS dc{k}" for k in range(3))
       + ", " + ", ".join(f"0.4e0 * E<{6 + k}> AS sh{k}" for k in range(45)) + ", 16 * E<51> AS logit, " + ", ".join(f"-2.5e0 + 4 * E<{52 + k}> AS ls{k}" for k in range(3))
-      + ", " + ", ".join(f"E<{55 + k}> / greatest(sqrt(E<55> * E<55> + E<56> * E<56> + E<57> * E<57> + E<58> * E<58>), 1e-8) AS q{k}" for k in range(4)) + " FROM {embeddings}", cut=True)
+      + ", " + ", ".join(f"E<{55 + k}> / greatest(sqrt(E<55> * E<55> + E<56> * E<56> + E<57> * E<57> + E<58> * E<58>), 1e-8) AS q{k}" for k in range(4)) + " FROM {embeddings}", cut=True, dealt="vec_id")
 query("p01_sigmoid_opacity", "SELECT gid, round(1 / (1 + exp(-logit)), 9) AS alpha FROM {gauss}")
 query("p02_exp_scale", "SELECT gid, round(exp(ls0), 9) AS s0, round(exp(ls1), 9) AS s1, round(exp(ls2), 9) AS s2, round(exp(2 * ls0), 9) AS v0 FROM {gauss}")
 stage("rot", """SELECT gid, 1 - 2 * (q2 * q2 + q3 * q3) AS r00, 2 * (q1 * q2 - q0 * q3) AS r01, 2 * (q1 * q3 + q0 * q2) AS r02, 2 * (q1 * q2 + q0 * q3) AS r10, 1 - 2 * (q1 * q1 + q3 * q3) AS r11, 2 * (q2 * q3 - q0 * q1) AS r12,

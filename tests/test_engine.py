@@ -94,6 +94,17 @@ def test_colours_equal_dense_harmonics(spark, gaussians):
                 assert abs(r[f"c{c}_degree{degree}"] - max(0, 0.5 + coeffs[c, : len(basis)] @ basis)) < 1e-6
 
 
+def test_scene_of_one_file_is_dealt_out(spark):
+    """The table lies in one file; its gaussians are written by several tasks, each of them once."""
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = catalog.build(spark, SF, "gauss").select("gid", F.input_file_name().alias("file")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert sorted(r["gid"] for r in got) == list(range(500)) and len({r["file"] for r in got}) == 8
+
+
 def dealt(spark):
     """Rows that all stages so far have written to shuffles."""
     store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
