@@ -128,6 +128,17 @@ def test_compositing_deals_splats_not_pixels(spark, duck):
         assert np.abs(got[c].to_numpy() - want[c].to_numpy()).max() < 1e-9, c
 
 
+@pytest.mark.parametrize("name", ["all_levels", "t07_all_coresets", *(f"{level}_{norm}{v}" for level, _ in LEVELS for norm in ("l1", "l2") for v in ("", "_nocolour", "_white"))])
+def test_levels_are_built_without_all_pixels(name):
+    """Of what Spark builds for a level, nothing makes the pixels of all splats before they are composited."""
+    todo, seen = [name], set()
+    while todo:
+        seen.add(x := todo.pop())
+        if x in catalog.STAGES:
+            todo += catalog.STAGES[x].needs or catalog.reads(x)
+    assert {"splats", "comp"} <= seen and "pix" not in seen
+
+
 def test_compositing_of_a_tile_across_batches(spark):
     """Opaque and faint splats, equal depths, boxes over part of a tile and a missing colour against plain loops."""
     rng = np.random.default_rng(11)
